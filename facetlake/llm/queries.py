@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import setjoin
+from facetlake.llm import mix, setjoin, split, tokens
 from facetlake.sources.tables import table
 
 
@@ -28,6 +28,54 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("annotation_uid_a"), F.col("id_b").alias("annotation_uid_b"))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each claim with the class of its equal sets and the number of other classes its class is similar to."""
+    classes, membership = setjoin.set_classes(claim_sets(spark, folder))
+    pairs = setjoin.similar_classes(classes, 0.75)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    return membership.join(links, "sid", "left").select(F.col("id").alias("annotation_uid"), F.col("sid").alias("class_uid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every text; those of NULL and of the empty text are the empty list."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return docs.mapInArrow(tokens.ids_mapper(tokens.vocabulary(spark)), "doc_id long, ids array<int>")
+
+
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("text", "doc_id", "source", "lang", "kind")
+    return docs.mapInArrow(tokens.counts_mapper(tokens.vocabulary(spark)), "n_tokens long, doc_id long, source string, lang string, kind string")
+
+
+def _mix(spark: SparkSession, folder: str) -> mix.Mix:
+    topics = [r["kind"] for r in table(spark, folder, "split_limit").where("kind is not null").select("kind").distinct().limit(mix.MOST_TOPICS + 1).collect()]
+    return mix.mix_sources(token_counts(spark, folder), table(spark, folder, "mix_target"), topics)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that is taken, with its number of copies."""
+    return _mix(spark, folder).documents
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, folder).shares
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every document over the limit of its kind."""
+    # The limit table has a row per kind; a longer one is an error, not a cut.
+    rows = table(spark, folder, "split_limit").where("kind is not null and max_tokens > 0").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("a split table names at most 10,000 kinds")
+    limits = {r["kind"]: (r["max_tokens"], r["overlap_tokens"] or 0) for r in rows}
+    docs = table(spark, folder, "documents").select("doc_id", "kind", "text")
+    # A token has at least one byte, so a text of no more bytes than its limit has no more tokens either.
+    least = min((m for m, _ in limits.values()), default=0)
+    docs = docs.where(F.col("kind").isin(list(limits)) & (F.octet_length("text") > least))
+    return docs.mapInArrow(split.pieces_mapper(tokens.vocabulary(spark), limits), split.PIECES)
+
+
 def queries() -> dict:
-    names = [p5_found]
+    names = [p5_found, p5_classes, p7_ids, p8_mix, p8_shares, p9_pieces]
     return {f.__name__: f for f in names}
