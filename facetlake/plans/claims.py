@@ -185,14 +185,14 @@ def _where(op: str, threshold: float) -> Callable[[Projection], DataFrame]:
 
 
 for _name, _op, _sql in (("gt", ">", ">"), ("ge", ">=", ">="), ("lt", "<", "<"), ("le", "<=", "<="), ("eq", "==", "="), ("ne", "!=", "<>")):
-    _f = _where(_op, 1500.0)
+    _f = _where(_op, 950.0)
     _f.__name__ = f"value_where_{_name}"
-    query(f"SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index FROM value_element WHERE NOT isnan(v) AND v {_sql} 1500.0")(_f)
+    query(f"SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index FROM value_element WHERE NOT isnan(v) AND v {_sql} 950.0")(_f)
 
 
-@query("SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index FROM value_element WHERE NOT isnan(v) AND (v < 950 OR v BETWEEN 1200 AND 1300)")
+@query("SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index FROM value_element WHERE NOT isnan(v) AND (v < 910 OR v BETWEEN 950 AND 960)")
 def value_where_callable(p: Projection) -> DataFrame:
-    return values.elements_where(values.chunk_values(_first_index(p), ["asset_part_id"], CHUNK), lambda v: (v < 950) | v.between(1200, 1300), keys=["asset_part_id"])
+    return values.elements_where(values.chunk_values(_first_index(p), ["asset_part_id"], CHUNK), lambda v: (v < 910) | v.between(950, 960), keys=["asset_part_id"])
 
 
 @query("SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index, v FROM value_element WHERE NOT isnan(v)")
