@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetlake.operators.hierarchy import MOST_ROUNDS
 from facetlake.schema import CATEGORIES, DIRECTIONS, StoreError
 from facetlake.session import cut_lineage
 
@@ -88,7 +87,7 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     state = cut_lineage(nodes)
     n = state.count()
     while n:
-        for _ in range(MOST_ROUNDS // 4):
+        for _ in range(2):
             # A node stays while an edge from a node that stays leads to it.
             state = left.join(state.select(F.col("object_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("object_id")).distinct()
         state = cut_lineage(state)
