@@ -8,17 +8,24 @@ descendant list is kept as rows (ancestor, descendant), so that no task ever
 holds the list of a large tree.
 
 Rounds are run several to a job; the numbers of live nodes fall fast, so the
-first jobs take few rounds and the later ones many.
+first jobs take few rounds and the later ones many. Once at most BOUNDED nodes
+live, a constant whatever the input, one task runs the rest of the rounds:
+deep, thin chains then cost no jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.session import cut_lineage
 
-MOST_ROUNDS = 8
+MOST_ROUNDS = 4
+BOUNDED = 20_000
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
@@ -31,80 +38,110 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     raise RuntimeError("no seed numbers the nodes without collision")
 
 
-def peel(links: DataFrame) -> DataFrame:
-    """(id, parent, size, round) of ``links`` (id, parent; parent NULL at roots); round is NULL on cycles.
+def peel(links: DataFrame, bounded: int = BOUNDED) -> tuple[list[DataFrame], DataFrame, bool]:
+    """(peeled, rest, done) of ``links`` (id, parent; parent NULL at roots).
 
-    ``size`` counts all nodes below. A node and the messages to it meet in
-    one combined aggregation, so a round is one shuffle of few numbers.
+    ``peeled``: (id, parent, size, round) by jobs, rounds ascending; ``size``
+    counts all nodes below. ``rest`` holds (id, parent, pending, size): at most
+    ``bounded`` rows that are still to be peeled, or with ``done`` the nodes
+    on cycles, however many. A node and the messages to it meet in one
+    combined aggregation, so a round is one shuffle of few numbers.
     """
     kids = links.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
-    state = cut_lineage(links.join(kids, "id", "left").select("id", "parent", F.coalesce("pending", F.lit(0)).alias("pending"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("int").alias("round")))
-    done: list[DataFrame] = []
-    at, step = 0, 1
-    while True:
-        for t in range(at, at + step):
-            leaf = (F.col("pending") == 0) & F.col("round").isNull()
-            own = F.struct("id", "parent", "pending", "size", F.when(leaf, F.lit(t)).otherwise(F.col("round")).alias("round"), F.lit(1).alias("own"))
-            note = F.struct(
-                F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(-1).cast("long").alias("pending"), (F.col("size") + 1).alias("size"), F.lit(None).cast("int").alias("round"), F.lit(0).alias("own")
-            )
+    state = links.join(kids, "id", "left").select("id", "parent", F.coalesce("pending", F.lit(0)).alias("pending"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("int").alias("round"), F.lit(0).alias("tick"))
+    state = cut_lineage(state)
+    peeled: list[DataFrame] = []
+    left, step = state.count(), 1
+    # The number of the round is a column, so that all rounds are one program, compiled once.
+    leaf = (F.col("pending") == 0) & F.col("round").isNull()
+    null = lambda kind: F.lit(None).cast(kind)
+    own = F.struct("id", "parent", "pending", "size", F.when(leaf, F.col("tick")).otherwise(F.col("round")).alias("round"), "tick")
+    note = F.struct(F.col("parent").alias("id"), null("long").alias("parent"), F.lit(-1).cast("long").alias("pending"), (F.col("size") + 1).alias("size"), null("int").alias("round"), null("int").alias("tick"))
+    while left > bounded:
+        for _ in range(step):
             state = (
                 state.select(F.explode(F.when(leaf & F.col("parent").isNotNull(), F.array(own, note)).otherwise(F.array(own))).alias("x")).select("x.*")
-                .groupBy("id").agg(F.max("parent").alias("parent"), F.sum("pending").alias("pending"), F.sum("size").alias("size"), F.max("round").alias("round"))
+                .groupBy("id").agg(F.max("parent").alias("parent"), F.sum("pending").alias("pending"), F.sum("size").alias("size"), F.max("round").alias("round"), (F.max("tick") + 1).alias("tick"))
             )
         state = cut_lineage(state)
-        done.append(state.where("round is not null"))
+        peeled.append(state.where("round is not null").select("id", "parent", "size", "round"))
         state = state.where("round is null")
-        peeled, left = done[-1].count(), state.count()
-        at, step = at + step, min(MOST_ROUNDS, step * 2)
-        if not peeled or not left:
-            break
-    out = state
-    for d in done:
-        out = out.unionByName(d)
-    return out.select("id", "parent", "size", "round")
-
-
-def resolve(peeled: DataFrame, names: DataFrame) -> DataFrame:
+        before, left = left, state.count()
+        if left == before:
+            return peeled, state, True
+        step = min(MOST_ROUNDS, step * 2)
+    return peeled, state, False
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The remaining rounds and their reversal for a rest of bounded size: (id, parent, is_root, pending, size, node) to (id, trail, status, size)."""
+    df = pd.concat(list(batches) or [pd.DataFrame(columns=["id", "parent", "is_root", "pending", "size", "node"])], ignore_index=True)
+    n = len(df)
+    place = pd.Index(df["id"].astype("int64"))
+    up = np.where(df["is_root"].astype(bool), -1, place.get_indexer(df["parent"].astype("int64")))
+    pending, size = df["pending"].to_numpy(np.int64).copy(), df["size"].to_numpy(np.int64).copy()
+    gone, rounds = np.zeros(n, bool), []
+    while len(leaves := np.flatnonzero((pending == 0) & ~gone)):
+        gone[leaves] = True
+        rounds.append(leaves)
+        sent = leaves[up[leaves] >= 0]
+        np.add.at(size, up[sent], size[sent] + 1)
+        np.subtract.at(pending, up[sent], 1)
+    status = np.where(gone, 0, -1)
+    for leaves in reversed(rounds):
+        inner = leaves[up[leaves] >= 0]
+        status[inner] = np.where(status[up[inner]] < 0, -2, 0)
+    names, ids = df["node"].tolist(), df["id"].tolist()
+    out: list[tuple] = []
+    held = 0
+    for i in range(n):
+        trail: list[str] = []
+        k = i if status[i] == 0 else -1
+        while k >= 0:
+            trail.append(names[k])
+            k = up[k]
+        out.append((ids[i], trail[::-1], int(status[i]), int(size[i])))
+        held += len(trail)
+        if held > 100_000:
+            yield pd.DataFrame(out, columns=["id", "trail", "status", "size"])
+            out, held = [], 0
+    yield pd.DataFrame(out, columns=["id", "trail", "status", "size"])
+
+
+def resolve(peeled: list[DataFrame], rest: DataFrame, done: bool, names: DataFrame) -> DataFrame:
     """(id, trail, status, size) by the peeling rounds in reverse: ``trail`` names the nodes from the root to the node.
 
     ``status``: 0 in a tree, -1 on a cycle, -2 below one; the trail is empty for the latter two.
     """
-    rows = cut_lineage(peeled.join(names.select("id", "node"), "id"))
-    last = rows.agg(F.max("round")).first()[0]
+    names = names.select("id", "node")
     empty = F.array().cast("array<string>")
-    known = rows.where("round is null").select("id", empty.alias("trail"), F.lit(-1).alias("status"))
-    found = [known]
-    bounds, at, step = [], 0, 1
-    while last is not None and at <= last:
-        bounds.append((at, at + step - 1))
-        at, step = at + step, min(MOST_ROUNDS, step * 2)
-    for lo, hi in reversed(bounds):
-        block = rows.where(F.col("round").between(lo, hi))
-        is_root = F.col("parent").isNull()
-        up = lambda known, tag: known.select(F.col("id").alias("parent"), F.col("trail").alias(f"t{tag}"), F.col("status").alias(f"s{tag}"))
-        below = lambda t, s: F.when(s == 0, F.concat(t, F.array("node"))).when(s.isNotNull(), empty)
-        base = block.join(up(known, 0), "parent", "left").select(
-            "id", "parent", "node",
-            F.when(is_root, F.array("node")).otherwise(below(F.col("t0"), F.col("s0"))).alias("trail"),
-            F.when(is_root, F.lit(0)).otherwise(F.when(F.col("s0") == 0, F.lit(0)).when(F.col("s0").isNotNull(), F.lit(-2))).alias("status"),
-        )
+    if done:
+        known = rest.select("id", empty.alias("trail"), F.lit(-1).alias("status"), "size")
+    else:
+        # At most BOUNDED rows, so one task is no bottleneck and holds no group that grows with the data.
+        known = rest.join(names, "id").select("id", F.coalesce("parent", F.lit(0)).alias("parent"), F.col("parent").isNull().alias("is_root"), "pending", "size", "node").coalesce(1).mapInPandas(_finish, "id long, trail array<string>, status int, size long")
+    known = cut_lineage(known)
+    is_root = F.col("parent").isNull()
+    up = lambda known: known.select(F.col("id").alias("parent"), F.col("trail").alias("t"), F.col("status").alias("s"))
+    trail = F.when(is_root, F.array("node")).when(F.col("s") == 0, F.concat("t", F.array("node"))).when(F.col("s").isNotNull(), empty)
+    status = F.when(is_root, F.lit(0)).when(F.col("s") == 0, F.lit(0)).when(F.col("s").isNotNull(), F.lit(-2))
+    for block in reversed(peeled):
+        block = cut_lineage(block.join(names, "id"))
+        lo, hi = block.agg(F.min("round"), F.max("round")).first()
+        if lo is None:  # a job in which nothing could leave
+            continue
+        got = block.join(up(known), "parent", "left").select("id", "parent", "node", "size", trail.alias("trail"), status.alias("status"))
         if hi > lo:
-            base = cut_lineage(base)
-        got = base
-        for _ in range(hi - lo):
-            got = base.join(up(got, 1), "parent", "left").select(
-                "id", "parent", "node",
-                F.coalesce("trail", below(F.col("t1"), F.col("s1"))).alias("trail"),
-                F.coalesce("status", F.when(F.col("s1") == 0, F.lit(0)).when(F.col("s1").isNotNull(), F.lit(-2))).alias("status"),
-            )
-        got = cut_lineage(got.select("id", "trail", "status"))
-        found.append(got)
-        known = known.unionByName(got)
-    return known.join(rows.select("id", "size"), "id")
+            base = cut_lineage(got)
+            got = base
+            for _ in range(hi - lo):
+                got = base.join(up(got), "parent", "left").select("id", "parent", "node", "size", F.coalesce("trail", trail).alias("trail"), F.coalesce("status", status).alias("status"))
+        # One table, so that the plan of the next block is no longer than this one's.
+        known = cut_lineage(known.unionByName(got.select("id", "trail", "status", "size")))
+    return known
 
 
-def hierarchies(links: DataFrame) -> DataFrame:
+def hierarchies(links: DataFrame, bounded: int = BOUNDED) -> DataFrame:
     """Every node of ``links`` (hierarchy, scope, node, parent) with its trail, size and status.
 
     ``links`` may repeat rows and name a node with and without its parent; a
@@ -117,16 +154,16 @@ def hierarchies(links: DataFrame) -> DataFrame:
     nodes = _numbered(nodes.groupBy("hierarchy", "scope", "node").agg(F.min("parent").alias("parent_name")))
     ids = nodes.select("hierarchy", "scope", F.col("node").alias("parent_name"), F.col("id").alias("parent"))
     linked = nodes.join(ids, ["hierarchy", "scope", "parent_name"], "left").select("id", "parent")
-    return resolve(peel(linked), nodes).join(nodes.drop("parent_name"), "id").select("hierarchy", "scope", "node", "trail", "status", "size")
+    return resolve(*peel(linked, bounded), nodes).join(nodes.drop("parent_name"), "id").select("hierarchy", "scope", "node", "trail", "status", "size")
 
 
-def hierarchy_table(links: DataFrame) -> DataFrame:
+def hierarchy_table(links: DataFrame, bounded: int = BOUNDED) -> DataFrame:
     """One row per node: hierarchy, scope, node, root, depth, n_descendants, path.
 
     On a cycle: root '', depth -1, n_descendants -1, path ''; below a cycle the same with depth -2.
     """
     tree = F.col("status") == 0
-    return hierarchies(links).select(
+    return hierarchies(links, bounded).select(
         "hierarchy", "scope", "node", F.when(tree, F.get("trail", F.lit(0))).otherwise("").alias("root"),
         F.when(tree, F.size("trail") - 1).otherwise(F.col("status")).cast("int").alias("depth"),
         F.when(tree, F.col("size")).otherwise(-1).cast("int").alias("n_descendants"),
