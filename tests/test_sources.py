@@ -7,11 +7,7 @@ import pytest
 from facetlake.operators import validate
 from facetlake.schema import StoreError
 from facetlake.sources import citymodel, geometry, synthetic
-
-CITY = """<core:CityModel xmlns:core="http://www.opengis.net/citygml/3.0" xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:con="http://www.opengis.net/citygml/construction/3.0" xmlns:bldg="http://www.opengis.net/citygml/building/3.0" xmlns:xlink="http://www.w3.org/1999/xlink">
-<core:cityObjectMember><bldg:Building gml:id="b"><core:boundary><con:RoofSurface gml:id="r"/></core:boundary><core:boundary><con:WallSurface><con:fillingSurface><con:WindowSurface gml:id="w"/></con:fillingSurface></con:WallSurface></core:boundary>
-<core:boundary xlink:href="#r"/><core:relatedTo xlink:href="other.gml#x"/></bldg:Building></core:cityObjectMember></core:CityModel>"""
-
+from tests_data import CITY, las
 
 def test_citygml_inline_and_linked(spark, rows, tmp_path):
     p = tmp_path / "c.gml"
@@ -37,18 +33,6 @@ def test_vocabularies(spark, rows, tmp_path):
         citymodel.read_vocabulary(spark, str(tmp_path / "bad.json"))
 
 
-def las(points):
-    head = bytearray(227)
-    head[:4], head[24], head[25] = b"LASF", 1, 2
-    body = b'PROJCS["x",GEOGCS["y",AUTHORITY["EPSG","4258"]],AUTHORITY["EPSG","25832"]]'
-    struct.pack_into("<H", head, 94, 227)
-    struct.pack_into("<I", head, 100, 1)
-    struct.pack_into("<I", head, 107, points)
-    struct.pack_into("<6d", head, 179, 9, 0, 8, 1, 7, 2)
-    record = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(body), b"")
-    return bytes(head) + record + body
-
-
 def test_geometry_parts(spark, rows, tmp_path):
     (tmp_path / "a.las").write_bytes(las(12))
     (tmp_path / "b.obj").write_text("v 0 0 0\nv 1 0 0\nv 1 2 3\nv 0 1 0\ng empty\ng wall\nf 1 2 3 4\n")
