@@ -113,3 +113,35 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     names = [p1_found, p1_annotations, p1_memberships, p2_found, p2_descendants, p3_found, p3_readings, p4_found, p4_change_log, p6_found, p6_report]
     return {f.__name__: f for f in names}
+
+
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_URI_KEY = "CASE WHEN contains(u, '#') THEN url_decode(split_part(u, '#', -1)) WHEN lower(u) LIKE 'urn:%' THEN url_decode(split_part(u, ':', -1)) END"
+ORACLE = {
+    "p2_found": f"""WITH RECURSIVE kinds AS (SELECT DISTINCT local_name, coalesce(trim(code_space), '') cs FROM relationship_type WHERE category = 'containment'),
+alias AS (SELECT scheme, a, min(local_name) p FROM (SELECT scheme, local_name, unnest([local_name, class_uri, concept_iri]) a FROM local_minimal_example) WHERE a IS NOT NULL GROUP BY ALL),
+given AS (SELECT 'imported_relationship' h, coalesce(graph_name, '') s, to_uid n, from_uid p FROM imported_relationship r SEMI JOIN kinds k ON k.local_name = r.relationship_type AND k.cs = coalesce(trim(r.code_space), '') WHERE to_uid IS NOT NULL AND from_uid IS NOT NULL
+  UNION SELECT 'local_minimal_example', c.scheme, c.local_name, a.p FROM local_minimal_example c LEFT JOIN alias a ON a.scheme = c.scheme AND a.a = {_STRIP.format("c.parent_uri")} AND a.a <> ''),
+up AS (SELECT h, s, n, min(p) p FROM (SELECT * FROM given UNION ALL SELECT h, s, p, NULL FROM given WHERE p IS NOT NULL) GROUP BY ALL),
+anc(h, s, n, a) AS (SELECT h, s, n, p FROM up WHERE p IS NOT NULL UNION SELECT x.h, x.s, x.n, u.p FROM anc x JOIN up u ON u.h = x.h AND u.s = x.s AND u.n = x.a WHERE u.p IS NOT NULL),
+looped AS (SELECT h, s, n FROM anc WHERE n = a), hit AS (SELECT DISTINCT x.h, x.s, x.n FROM anc x SEMI JOIN looped l ON l.h = x.h AND l.s = x.s AND l.n = x.a),
+depth AS (SELECT h, s, n, count(*) d FROM anc GROUP BY ALL), below AS (SELECT h, s, a n, count(*) k FROM anc GROUP BY ALL),
+line AS (SELECT x.h, x.s, x.n, string_agg(x.a, '/' ORDER BY coalesce(d.d, 0)) trail, min_by(x.a, coalesce(d.d, 0)) root FROM anc x LEFT JOIN depth d ON d.h = x.h AND d.s = x.s AND d.n = x.a GROUP BY ALL)
+SELECT u.h AS hierarchy, u.s AS scope, u.n AS node, CASE WHEN t.n IS NOT NULL THEN '' ELSE coalesce(line.root, u.n) END AS root, CAST(CASE WHEN l.n IS NOT NULL THEN -1 WHEN t.n IS NOT NULL THEN -2 ELSE coalesce(d.d, 0) END AS INTEGER) AS depth,
+CAST(CASE WHEN t.n IS NOT NULL THEN -1 ELSE coalesce(b.k, 0) END AS INTEGER) AS n_descendants, CASE WHEN t.n IS NOT NULL THEN '' ELSE coalesce(line.trail || '/' || u.n, u.n) END AS path
+FROM up u LEFT JOIN looped l USING (h, s, n) LEFT JOIN hit t USING (h, s, n) LEFT JOIN depth d USING (h, s, n) LEFT JOIN below b USING (h, s, n) LEFT JOIN line USING (h, s, n)""",
+    "p4_found": f"""WITH e AS (SELECT annotation_id, CAST(epoch(CAST(assessed_at AS TIMESTAMPTZ)) AS BIGINT) sec, updated_at, assessment_id, lower({_STRIP.format("status")}) st, round(confidence, 4) cf FROM usap_assessment WHERE assessed_at IS NOT NULL AND annotation_id IS NOT NULL),
+d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY annotation_id, sec ORDER BY updated_at DESC NULLS LAST, assessment_id DESC) = 1),
+c AS (SELECT * FROM d WINDOW w AS (PARTITION BY annotation_id ORDER BY sec) QUALIFY row_number() OVER w = 1 OR st IS DISTINCT FROM lag(st) OVER w OR cf IS DISTINCT FROM lag(cf) OVER w),
+v AS (SELECT *, lead(sec) OVER (PARTITION BY annotation_id ORDER BY sec) nxt FROM c)
+SELECT annotation_id, strftime(make_timestamp(sec * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS valid_from, coalesce(strftime(make_timestamp(nxt * 1000000), '%Y-%m-%dT%H:%M:%SZ'), '') AS valid_to FROM v WHERE st IS DISTINCT FROM 'superseded'""",
+    "p6_found": f"""WITH refs AS (SELECT 'imported_relationship' ref_table, 'to_external_uri' ref_field, relationship_id row_id, 'g' dom, {_URI_KEY} k, imported_at seen FROM (SELECT *, {_STRIP.format("to_external_uri")} u FROM imported_relationship)
+UNION ALL SELECT 'unresolved_target', 'href', unresolved_id, 'g', {_URI_KEY}, noted_at FROM (SELECT *, {_STRIP.format("href")} u FROM unresolved_target)
+UNION ALL SELECT 'example_annotation_batch', 'city_object_uid', entry_id, 'u', {_STRIP.format("city_object_uid")}, received_at FROM example_annotation_batch
+UNION ALL SELECT 'example_annotation_batch', 'memberships.asset_part_id', entry_id, 'p', CAST(m.asset_part_id AS VARCHAR), received_at FROM (SELECT entry_id, received_at, unnest(memberships) m FROM example_annotation_batch)),
+have AS (SELECT dom, k, min(registered_at) FILTER (WHERE removed_at IS NULL) live FROM (SELECT 'g' dom, gml_id k, registered_at, removed_at FROM city_object UNION ALL SELECT 'u', object_uid, registered_at, removed_at FROM city_object
+UNION ALL SELECT 'p', CAST(asset_part_id AS VARCHAR), registered_at, removed_at FROM asset_part) WHERE k IS NOT NULL GROUP BY ALL),
+j AS (SELECT r.*, CASE WHEN h.k IS NULL THEN 'missing' WHEN h.live IS NULL THEN 'deleted' WHEN h.live > r.seen THEN 'late' END kind FROM refs r LEFT JOIN have h ON h.dom = r.dom AND h.k = r.k WHERE trim(r.k) <> '')
+SELECT DISTINCT ref_table, ref_field, row_id, k AS ref_key, kind AS orphan_kind, strftime(seen, '%Y-%m') AS period FROM j WHERE kind IS NOT NULL""",
+}
+ORACLE["p6_report"] = f"SELECT ref_table, ref_field, orphan_kind, period, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT ref_key) AS BIGINT) AS n_keys FROM ({ORACLE['p6_found']}) GROUP BY ALL"
