@@ -32,9 +32,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: One position in 2^BITS at which a join would stand is a cut.
 BITS = 1
 #: A task forgets its chunks beyond this many; a forgotten chunk is encoded again.
-MOST_CHUNKS = 3_000_000
+MOST_CHUNKS = 600_000
 #: Bytes of text worked on at once.
-STEP = 4 << 20
+STEP = 1 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
