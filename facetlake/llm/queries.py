@@ -79,3 +79,14 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     names = [p5_found, p5_classes, p7_ids, p8_mix, p8_shares, p9_pieces]
     return {f.__name__: f for f in names}
+
+
+_SETS = """named AS (SELECT uri, part_path, min(asset_part_id) part FROM asset_part JOIN asset USING (asset_id) GROUP BY ALL),
+m AS (SELECT annotation_uid, unnest(memberships) x FROM example_annotation_batch WHERE annotation_uid IS NOT NULL),
+el AS (SELECT DISTINCT uid, part, i FROM (SELECT annotation_uid uid, x.asset_part_id part, unnest(x.element_indices) i FROM m WHERE x.asset_part_id IN (SELECT asset_part_id FROM asset_part)
+UNION ALL SELECT annotation_uid, n.part, unnest(x.element_indices) FROM m JOIN named n ON n.uri = x.asset_uri AND n.part_path = x.part_path WHERE x.asset_part_id IS NULL) WHERE i IS NOT NULL),
+size AS (SELECT uid, count(*) n FROM el GROUP BY uid)"""
+ORACLE = {
+    "p5_found": f"""WITH {_SETS}, shared AS (SELECT a.uid a, b.uid b, count(*) k FROM el a JOIN el b ON a.part = b.part AND a.i = b.i AND a.uid < b.uid GROUP BY ALL)
+SELECT a AS annotation_uid_a, b AS annotation_uid_b FROM shared JOIN size x ON x.uid = a JOIN size y ON y.uid = b WHERE k >= 0.75 * (x.n + y.n - k)""",
+}
