@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetlake.schema import AmbiguityError, StoreError
@@ -69,6 +70,21 @@ def assessment_order() -> list[Column]:
     return [F.col("annotation_id"), F.col("assessed_at").isNotNull(), F.col("assessed_at"), F.col("assessment_id")]
 
 
+def assessment_places(assessments: DataFrame) -> DataFrame:
+    """``assessments`` with ``place``, their number within the claim in that order.
+
+    Dates sort as text, so the months they begin with sort alike: rows are
+    numbered within (claim, month), and months are offset by those before.
+    """
+    month = F.coalesce(F.substring("assessed_at", 1, 7), F.lit(""))
+    rows = assessments.withColumn("__m", month).withColumn("__dated", F.col("assessed_at").isNotNull())
+    n = rows.groupBy("annotation_id", "__dated", "__m").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("annotation_id").orderBy("__dated", "__m").rowsBetween(W.unboundedPreceding, -1))
+    n = n.select("annotation_id", "__dated", "__m", F.coalesce(before, F.lit(0)).alias("__so_far"))
+    at = F.row_number().over(W.partitionBy("annotation_id", "__dated", "__m").orderBy("assessed_at", "assessment_id"))
+    return rows.withColumn("__at", at).join(n, ["annotation_id", "__dated", "__m"]).withColumn("place", (F.col("__so_far") + F.col("__at")).cast("long")).drop("__m", "__dated", "__at", "__so_far")
+
+
 def one(df: DataFrame, what: str, id_column: str) -> int:
     """The id of the only row of ``df``; raises when there is none or more than one. Reads two rows at most."""
     rows = df.select(id_column).distinct().take(2)

@@ -49,3 +49,8 @@ def claims_of_objects(objects: DataFrame, annotations: DataFrame, links: DataFra
 def object_subtree(reached: DataFrame, annotations: DataFrame, links: DataFrame, blocks: DataFrame, link_types: list[str] | None = None) -> DataFrame:
     """Blocks of all claims about the objects in ``reached`` (object_id), each block once."""
     return blocks.join(claims_of_objects(reached, annotations, links, link_types), "annotation_id", "left_semi")
+
+
+def first_hit_order(claims: DataFrame) -> DataFrame:
+    """Results of the reverse query in the order in which a scan by block meets them."""
+    return claims.orderBy("first_block", "annotation_id")

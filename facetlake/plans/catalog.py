@@ -140,10 +140,7 @@ def concepts_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT assessment_id, annotation_id, assessed_at, CAST(row_number() OVER (PARTITION BY annotation_id ORDER BY assessed_at IS NOT NULL, assessed_at, assessment_id) AS BIGINT) place FROM usap_assessment""")
 def assessments_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("annotation_id").orderBy(*catalog.assessment_order()[1:])
-    return table(spark, folder, "usap_assessment").select("assessment_id", "annotation_id", "assessed_at", F.row_number().over(w).cast("long").alias("place"))
+    return catalog.assessment_places(table(spark, folder, "usap_assessment")).select("assessment_id", "annotation_id", "assessed_at", "place")
 
 
 @query("SELECT asset_id, content_hash, CASE WHEN regexp_full_match(content_hash, '[a-z0-9]+:[0-9a-f]+') THEN content_hash WHEN regexp_full_match(content_hash, '[0-9A-Fa-f]{64}') THEN 'sha256:' || lower(content_hash) END canonical FROM asset")

@@ -6,7 +6,6 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetlake.operators import graph, mutate, validate
@@ -123,8 +122,3 @@ def set_srs(store: Store, srs_id: int) -> None:
     store.manifest = {**store.manifest, "srs_id": srs_id}
     with store.transaction():
         store.log_edit("set_srs", "*", details={"srs_id": srs_id})
-
-
-def first_hit_order(claims: DataFrame) -> DataFrame:
-    """Results of the reverse query with ``place``, in the order in which a scan by block meets them."""
-    return claims.withColumn("place", F.row_number().over(W.orderBy("first_block", "annotation_id")))

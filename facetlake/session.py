@@ -53,19 +53,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
-    """Keys that hold more than ``1/share`` of all rows of ``df``: at most ``share`` keys, so they may be broadcast.
-
-    The counts are combined before the shuffle; NULL keys are left out.
-    """
-    not_null = None
-    for k in keys:
-        not_null = F.col(k).isNotNull() if not_null is None else not_null & F.col(k).isNotNull()
-    counts = df.where(not_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return counts.join(F.broadcast(total), F.col("__n") * share > F.col("__all")).select(*keys)
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join many ``left`` rows with at most one ``right`` row per key, a hot key spread over ``salts`` tasks.
 
