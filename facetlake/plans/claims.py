@@ -74,7 +74,7 @@ def reverse_elements(p: Projection) -> DataFrame:
 WHERE assessed_year = (SELECT max(assessed_year) FROM member_element) GROUP BY annotation_id""")
 def reverse_one_assessment(p: Projection) -> DataFrame:
     b = p.member_blocks()
-    last = p.elements().agg(F.max("assessed_year").alias("assessed_year"))
+    last = p.stated_elements().agg(F.max("assessed_year").alias("assessed_year"))
     return claims.claims_for_elements(b.join(F.broadcast(last), "assessed_year", "left_semi"), _selection(p), ["annotation_id"]).select("annotation_id", "n_matched")
 
 
@@ -278,7 +278,7 @@ def concepts_usage(p: Projection) -> DataFrame:
 
 @query("SELECT p.asset_part_id, p.asset_id, p.part_path, p.element_kind, p.element_count, CAST(coalesce(m.n, 0) AS BIGINT) claimed FROM part_dim p LEFT JOIN (SELECT asset_part_id, count(DISTINCT element_index) n FROM member_element GROUP BY 1) m USING (asset_part_id)")
 def parts_list(p: Projection) -> DataFrame:
-    used = p.elements().select("asset_part_id", "element_index").distinct().groupBy("asset_part_id").agg(F.count(F.lit(1)).alias("n"))
+    used = p.stated_elements().select("asset_part_id", "element_index").distinct().groupBy("asset_part_id").agg(F.count(F.lit(1)).alias("n"))
     return p.parts().join(used, "asset_part_id", "left").select("asset_part_id", "asset_id", "part_path", "element_kind", "element_count", F.coalesce("n", F.lit(0)).cast("long").alias("claimed"))
 
 

@@ -145,3 +145,15 @@ j AS (SELECT r.*, CASE WHEN h.k IS NULL THEN 'missing' WHEN h.live IS NULL THEN
 SELECT DISTINCT ref_table, ref_field, row_id, k AS ref_key, kind AS orphan_kind, strftime(seen, '%Y-%m') AS period FROM j WHERE kind IS NOT NULL""",
 }
 ORACLE["p6_report"] = f"SELECT ref_table, ref_field, orphan_kind, period, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT ref_key) AS BIGINT) AS n_keys FROM ({ORACLE['p6_found']}) GROUP BY ALL"
+# A list, a list of one for anything else that is there, nothing for NULL.
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'NULL' THEN [] ELSE [{0}] END"
+ORACLE["p1_found"] = f"""WITH b AS (SELECT entry_id, coalesce(attributes.method, json_extract_string(attributes_json, '$.method'), '') method, unnest(memberships) m, generate_subscripts(memberships, 1) - 1 pos FROM example_annotation_batch),
+r AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END END doc FROM batch_raw),
+a0 AS (SELECT raw_id, {_LIST.format("x")} l FROM (SELECT raw_id, json_extract(doc, '$.annotations') x FROM r WHERE doc IS NOT NULL) WHERE x IS NOT NULL),
+a AS (SELECT raw_id, pos ap, x FROM (SELECT raw_id, unnest(l) x, generate_subscripts(l, 1) - 1 pos FROM a0) WHERE json_type(x) = 'OBJECT'),
+m0 AS (SELECT raw_id, ap, coalesce(json_extract_string(x, '$.attributes.method'), CASE WHEN json_valid(json_extract_string(x, '$.attributes_json')) THEN json_extract_string(json_extract_string(x, '$.attributes_json'), '$.method') END, '') method, {_LIST.format("y")} l FROM (SELECT *, json_extract(x, '$.memberships') y FROM a) WHERE y IS NOT NULL),
+m AS (SELECT raw_id, ap, method, pos mp, x FROM (SELECT raw_id, ap, method, unnest(l) x, generate_subscripts(l, 1) - 1 pos FROM m0) WHERE json_type(x) = 'OBJECT'),
+e AS (SELECT raw_id, ap, mp, method, coalesce(json_extract_string(x, '$.part_path'), '') pp, unnest({_LIST.format("y")}) i FROM (SELECT *, json_extract(x, '$.element_indices') y FROM m) WHERE y IS NOT NULL)
+SELECT DISTINCT 'example_annotation_batch' AS record_table, CAST(entry_id AS BIGINT) AS record_id, CAST(0 AS INTEGER) AS annotation_pos, CAST(pos AS INTEGER) AS membership_pos, CAST(i AS BIGINT) AS element_index, pp AS part_path, method
+FROM (SELECT entry_id, pos, method, coalesce(m.part_path, '') pp, unnest(m.element_indices) i FROM b WHERE m IS NOT NULL) WHERE i IS NOT NULL
+UNION ALL SELECT DISTINCT 'batch_raw', raw_id, CAST(ap AS INTEGER), CAST(mp AS INTEGER), v, pp, method FROM (SELECT *, TRY_CAST(json_extract_string(i, '$') AS BIGINT) v FROM e) WHERE v IS NOT NULL"""

@@ -66,14 +66,18 @@ class Projection:
         """Claims without primary object are linked to their supplier's object."""
         return self.annotations().where("primary_object_id is null").select("annotation_id", (100000 + F.col("annotation_id")).alias("object_id"), F.lit("represents").alias("relation_type"))
 
-    def elements(self) -> DataFrame:
+    def stated_elements(self) -> DataFrame:
+        """Elements as stated, repeats included; blocks and counts take sets of them anyway."""
         return self.t("lineitem").select(
             F.col("l_suppkey").alias("annotation_id"), F.year("l_shipdate").cast("long").alias("assessed_year"), F.lit(1).cast("long").alias("asset_part_id"),
             (F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1).alias("element_index"),
-        ).distinct()
+        )
+
+    def elements(self) -> DataFrame:
+        return self.stated_elements().distinct()
 
     def member_blocks(self) -> DataFrame:
-        return blocks.build_blocks(self.elements(), ["annotation_id", "assessed_year", "asset_part_id"])
+        return blocks.build_blocks(self.stated_elements(), ["annotation_id", "assessed_year", "asset_part_id"])
 
     def value_elements(self) -> DataFrame:
         v = F.when(F.col("p_size") % 10 == 0, float("nan")).otherwise(F.col("p_retailprice"))
