@@ -54,6 +54,7 @@ def export_geopackage(store: Store, path: str, srs_id: int = 0) -> None:
                 marks = ", ".join("?" * len(df.columns))
                 conn.executemany(f"INSERT INTO {name} ({', '.join(chr(34) + c + chr(34) for c in df.columns)}) VALUES ({marks})", (tuple(_payload(name, r.asDict()).values()) for r in df.toLocalIterator()))
                 conn.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier) VALUES (?, 'attributes', ?)", (name, name))
+                conn.execute("INSERT INTO gpkg_extensions VALUES (?, NULL, 'facetlake', 'README.md', 'read-write')", (name,))
             conn.execute("CREATE TABLE asset_extent (asset_id INTEGER PRIMARY KEY, geom BLOB)")
             boxes = ((r["asset_id"], bbox_encode(r["minx"], r["miny"], r["maxx"], r["maxy"], srs_id)) for r in asset_extents(store.table("asset_part")).toLocalIterator())
             conn.executemany("INSERT INTO asset_extent VALUES (?, ?)", boxes)
@@ -78,6 +79,9 @@ def header_problems(path: str) -> list[tuple[str, str]]:
         if "gpkg_spatial_ref_sys" in names:
             have = {r[0] for r in conn.execute("SELECT srs_id FROM gpkg_spatial_ref_sys")}
             out += [("error", "MISSING_GPKG_SRS")] * len({-1, 0, 4326} - have)
+        if "gpkg_extensions" in names:
+            registered = {r[0] for r in conn.execute("SELECT table_name FROM gpkg_extensions")}
+            out += [("warning", "MISSING_EXTENSION_ROW")] * len(set(TABLES) - registered)
         if "gpkg_contents" in names:
             layers = {r[0] for r in conn.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'attributes'")}
             out += [("warning", "MISSING_GIS_ATTRIBUTE_LAYER")] * len(set(TABLES) - layers)

@@ -83,3 +83,19 @@ def field_problems(chunks: DataFrame, parts: DataFrame, keys: list[str], part: s
     whole = whole.join(parts.select(part, "element_count"), part, "left")
     problem = F.when(F.col("overlap"), "overlap").when(F.col("gap"), "gap").when(~(F.col("stop") == F.col("element_count")), "partial")
     return whole.select(*keys, problem.alias("problem")).where("problem is not null")
+
+
+def whole_field(chunks: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``chunks`` (with value_dtype) if every field is of one dtype and covers its part without gap or overlap; raises else.
+
+    No chunks at all are no field, which raises too.
+    """
+    if chunks.isEmpty():
+        raise StoreError("no value field")
+    mixed = chunks.groupBy(*keys).agg(F.count_distinct("value_dtype").alias("k")).where("k > 1").select(*keys).take(1)
+    if mixed:
+        raise StoreError(f"a field of several dtypes: {mixed[0].asDict()}")
+    bad = field_problems(chunks, parts, keys).take(1)
+    if bad:
+        raise StoreError(f"no whole field: {bad[0].asDict()}")
+    return chunks

@@ -88,6 +88,16 @@ class Store:
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    def problems(self) -> list[tuple[str, str]]:
+        """(severity, code) of what is wrong with the manifest itself."""
+        out = []
+        if self.manifest.get("profile") != PROFILE:
+            out.append(("error", "MISSING_PROFILE"))
+        iri = self.manifest.get("package_iri") or ""
+        if not iri.strip() or ":" not in iri:
+            out.append(("error", "INVALID_PACKAGE_IRI"))
+        return out
+
     # --- reading
 
     def table(self, name: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_field_problems(spark, rows):
     assert rows(values.field_problems(chunks, parts, ["f"]), "f", "problem") == [("gap", "gap"), ("over", "overlap"), ("part", "partial")]
 
 
+def test_only_whole_fields_are_read(spark):
+    parts = spark.createDataFrame([(1, 10)], "asset_part_id long, element_count long")
+    make = lambda rows: spark.createDataFrame(rows, "f string, asset_part_id long, block_start long, element_count long, value_dtype string")
+    assert values.whole_field(make([("a", 1, 0, 5, "f4"), ("a", 1, 5, 5, "f4")]), parts, ["f"]).count() == 2
+    for rows in ([], [("a", 1, 0, 5, "f4"), ("a", 1, 5, 5, "f8")], [("a", 1, 0, 5, "f4")]):
+        with pytest.raises(StoreError):
+            values.whole_field(make(rows), parts, ["f"])
+
+
 def test_paths_are_the_same_in_short_stretches(spark, rows):
     rng = random.Random(1)
     pos = [(k, o, rng.choice([1, 1, 2]), rng.randrange(5), int(o == 0 or rng.random() < 0.1)) for k in (1, 2) for o in range(60)]

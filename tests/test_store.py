@@ -107,6 +107,9 @@ def test_transactions_and_opening(store, spark, tmp_path):
             store.stage("asset", store.table("asset").limit(0))
             1 / 0
     assert store.table("asset").count() == 2
+    assert store.problems() == []
+    store.manifest["package_iri"] = "  "
+    assert store.problems() == [("error", "INVALID_PACKAGE_IRI")]
     with pytest.raises(StoreError):
         Store.create(spark, store.path)
     with pytest.raises(FileNotFoundError):
