@@ -70,11 +70,12 @@ def cut_text(enc: ChunkEncoder, b: np.ndarray, ids: np.ndarray, most: int, overl
     """Pieces (token_from, token_to, n_tokens, overlap, boundary, text) of one text of more than ``most`` tokens.
 
     A piece has at most ``most`` tokens, counted on its own text, and unless it
-    is the last more than half of that and more than ``overlap``. Cuts whose
-    overlap starts at an agreed join come first, so that a piece's own ids are
-    the slice of the text's, then those whose overlap starts between
-    characters; where a window has neither, the overlap grows to the next whole
-    character. A piece whose ends are not agreed shrinks until its own count fits.
+    is the last more than half of that and more than ``overlap``. The strongest
+    cut is taken. Of equals those come first whose overlap starts at an agreed
+    join, so that a piece's own ids are the slice of the text's, then those
+    whose overlap starts between characters; where it starts inside one, the
+    overlap grows to the whole character. A piece whose ends are not agreed
+    shrinks until its own count fits.
     """
     n = len(ids)
     overlap = max(0, min(overlap, most // 2 - 1)) if most > 1 else 0
@@ -82,7 +83,7 @@ def cut_text(enc: ChunkEncoder, b: np.ndarray, ids: np.ndarray, most: int, overl
     kind, join = strengths(b, start[:-1])
     back_join, back_whole = np.zeros(n, bool), np.zeros(n, bool)
     back_join[overlap:], back_whole[overlap:] = join[: n - overlap], kind[: n - overlap] > 0
-    table = RangeMax(kind + np.where(join & back_join, 20, np.where((kind > 0) & back_whole, 10, 0)), most)
+    table = RangeMax(3 * kind + np.where(join & back_join, 2, np.where((kind > 0) & back_whole, 1, 0)), most)
     raw = b.tobytes()
     out, s, shared = [], 0, 0
     while True:

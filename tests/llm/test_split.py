@@ -51,6 +51,15 @@ def test_natural_boundaries_win(enc):
     assert "paragraph" in [p[4] for p in pieces]
 
 
+def test_strength_comes_before_a_clean_overlap_start(enc):
+    # Stepping back 3 tokens from the paragraph ends inside the long word, from the words after it at a join.
+    text = " a" * 12 + " " + "x" * 40 + "\n\nb" + " b" * 40
+    ids = enc.tokenizer.encode_ordinary(text)
+    assert len(enc.tokenizer.encode_ordinary(text.split("\n\n")[0])) in range(14, 24)
+    first = check(enc, text, 26, 3)[0]
+    assert first[4] == "paragraph" and enc.tokenizer.decode_bytes(ids[first[1] :]).startswith(b"\nb")
+
+
 def test_stretch_without_breaks_and_tiny_limits(enc):
     check(enc, "ab" * 4000, 64, 8)
     check(enc, "日" * 900, 20, 4)
