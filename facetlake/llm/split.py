@@ -69,13 +69,14 @@ class RangeMax:
 def cut_text(enc: ChunkEncoder, b: np.ndarray, ids: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int, int, str, bytes]]:
     """Pieces (token_from, token_to, n_tokens, overlap, boundary, text) of one text of more than ``most`` tokens.
 
-    A piece has at most ``most`` tokens, counted on its own text, and unless it
-    is the last more than half of that and more than ``overlap``. The strongest
-    cut is taken. Of equals those come first whose overlap starts at an agreed
-    join, so that a piece's own ids are the slice of the text's, then those
-    whose overlap starts between characters; where it starts inside one, the
-    overlap grows to the whole character. A piece whose ends are not agreed
-    shrinks until its own count fits.
+    A piece has at most ``most`` tokens, counted on its own text. The strongest
+    cut that leaves it more than half of that and more than ``overlap`` is
+    taken; where that half has no natural one, the strongest natural one of
+    fewer tokens, and only without any a cut inside a run. Of equals those come
+    first whose overlap starts at an agreed join, so that a piece's own ids are
+    the slice of the text's, then those whose overlap starts between
+    characters; where it starts inside one, the overlap grows to the whole
+    character. A piece whose ends are not agreed shrinks until its own count fits.
     """
     n = len(ids)
     overlap = max(0, min(overlap, most // 2 - 1)) if most > 1 else 0
@@ -92,16 +93,21 @@ def cut_text(enc: ChunkEncoder, b: np.ndarray, ids: np.ndarray, most: int, overl
             text = raw[start[s] :]
             out.append((s, n, left if exact else enc.count(text.decode()), shared, "end", text))
             return out
-        lo, hi = s + max(shared, overlap, most // 2) + 1, s + min(most, left - 1)
+        least, hi = s + max(shared, overlap) + 1, s + min(most, left - 1)
+        lo = max(least, s + most // 2 + 1)
         while True:
             e = table.query(min(lo, hi), hi)
+            if kind[e] < WORD and least < min(lo, hi):
+                low = table.query(least, min(lo, hi) - 1)
+                e = low if kind[low] >= WORD else e
             while kind[e] == 0:  # only where a window lies inside one character
                 e -= 1
             text = raw[start[s] : start[e]]
             count = e - s if exact and join[e] else enc.count(text.decode())
             if count <= most or hi <= s + 1:
                 break
-            hi = max(s + 1, hi - max(1, count - most))
+            # Nothing after a cut that does not fit is any shorter.
+            hi = max(s + 1, min(hi, e) - max(1, count - most))
         out.append((s, e, count, shared, NAMES[kind[e]], text))
         nxt = e - overlap
         while nxt > s + 1 and kind[nxt] == 0:

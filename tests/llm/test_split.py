@@ -60,6 +60,13 @@ def test_strength_comes_before_a_clean_overlap_start(enc):
     assert first[4] == "paragraph" and enc.tokenizer.decode_bytes(ids[first[1] :]).startswith(b"\nb")
 
 
+def test_unbroken_run_is_cut_before_rather_than_inside(enc):
+    run = "ab" * 20
+    assert 14 < len(enc.tokenizer.encode_ordinary(" " + run)) <= 24
+    pieces = check(enc, "One two. Three four five" + (" " + run) + " six seven." + " word" * 20, 24, 0)
+    assert pieces[0][5] == b"One two." and "character" not in [p[4] for p in pieces]
+
+
 def test_stretch_without_breaks_and_tiny_limits(enc):
     check(enc, "ab" * 4000, 64, 8)
     check(enc, "日" * 900, 20, 4)
