@@ -76,16 +76,37 @@ def cut_text(enc: ChunkEncoder, b: np.ndarray, ids: np.ndarray, most: int, overl
     first whose overlap starts at an agreed join, so that a piece's own ids are
     the slice of the text's, then those whose overlap starts between
     characters; where it starts inside one, the overlap grows to the whole
-    character. A piece whose ends are not agreed shrinks until its own count fits.
+    character. A piece whose ends are not agreed shrinks until its own count
+    fits; where it does not fit past the overlap, the overlap gets shorter. Any
+    ``overlap`` below ``most`` is kept, a larger one is ``most - 1``. A single
+    character of more than ``most`` tokens is a piece over the limit.
     """
     n = len(ids)
-    overlap = max(0, min(overlap, most // 2 - 1)) if most > 1 else 0
+    overlap = max(0, min(overlap, most - 1))
     start = np.concatenate([[0], np.cumsum(enc.width[ids])])
     kind, join = strengths(b, start[:-1])
     back_join, back_whole = np.zeros(n, bool), np.zeros(n, bool)
     back_join[overlap:], back_whole[overlap:] = join[: n - overlap], kind[: n - overlap] > 0
     table = RangeMax(3 * kind + np.where(join & back_join, 2, np.where((kind > 0) & back_whole, 1, 0)), most)
     raw = b.tobytes()
+
+    def fit(s: int, least: int, hi: int) -> tuple[int, int] | None:
+        """(cut, tokens) of the best piece from ``s`` that is cut in least..hi and fits; None without any."""
+        exact, lo = s == 0 or join[s], max(least, s + most // 2 + 1)
+        while hi >= least:
+            e = table.query(min(lo, hi), hi)
+            if kind[e] < WORD and least < min(lo, hi):
+                low = table.query(least, min(lo, hi) - 1)
+                e = low if kind[low] >= WORD or kind[e] == 0 else e
+            if kind[e] == 0:  # the window lies inside one character
+                return None
+            count = e - s if exact and join[e] else enc.count(raw[start[s] : start[e]].decode())
+            if count <= most:
+                return e, count
+            # Nothing after a cut that does not fit is any shorter.
+            hi = min(hi, e) - max(1, count - most)
+        return None
+
     out, s, shared = [], 0, 0
     while True:
         left, exact = n - s, s == 0 or join[s]
@@ -93,26 +114,33 @@ def cut_text(enc: ChunkEncoder, b: np.ndarray, ids: np.ndarray, most: int, overl
             text = raw[start[s] :]
             out.append((s, n, left if exact else enc.count(text.decode()), shared, "end", text))
             return out
-        least, hi = s + max(shared, overlap) + 1, s + min(most, left - 1)
-        lo = max(least, s + most // 2 + 1)
-        while True:
-            e = table.query(min(lo, hi), hi)
-            if kind[e] < WORD and least < min(lo, hi):
-                low = table.query(least, min(lo, hi) - 1)
-                e = low if kind[low] >= WORD else e
-            while kind[e] == 0:  # only where a window lies inside one character
-                e -= 1
-            text = raw[start[s] : start[e]]
-            count = e - s if exact and join[e] else enc.count(text.decode())
-            if count <= most or hi <= s + 1:
-                break
-            # Nothing after a cut that does not fit is any shorter.
-            hi = max(s + 1, min(hi, e) - max(1, count - most))
-        out.append((s, e, count, shared, NAMES[kind[e]], text))
-        nxt = e - overlap
+        hi = s + min(most, left - 1)
+        found = fit(s, s + max(shared, overlap) + 1, hi) or (shared < overlap and fit(s, s + shared + 1, hi))
+        if not found and shared:
+            # No cut past the shared part fits: the piece starts later, at the next whole character.
+            end, s = s + shared, s + 1
+            while s < end and kind[s] == 0:
+                s += 1
+            shared = end - s
+            continue
+        if not found:  # a single character of more tokens than ``most``
+            e = s + 1
+            while e < n and kind[e] == 0:
+                e += 1
+            if e == n:
+                text = raw[start[s] :]
+                out.append((s, n, enc.count(text.decode()), shared, "end", text))
+                return out
+            found = e, enc.count(raw[start[s] : start[e]].decode())
+        e, count = found
+        out.append((s, e, count, shared, NAMES[kind[e]], raw[start[s] : start[e]]))
+        nxt = back = max(e - overlap, s + 1)
         while nxt > s + 1 and kind[nxt] == 0:
             nxt -= 1
-        nxt = e if nxt <= s or kind[nxt] == 0 else nxt
+        if kind[nxt] == 0:
+            nxt = back
+            while kind[nxt] == 0:
+                nxt += 1
         s, shared = nxt, e - nxt
 
 
@@ -120,8 +148,12 @@ def pieces_mapper(shared: Broadcast, limits: dict[str, tuple[int, int]]) -> Call
     """Maps batches (doc_id, kind, text) to the pieces of the texts over the limit of their kind.
 
     Texts of a kind without limit, NULL and empty texts, and texts within
-    their limit give no piece. ``limits`` is kind -> (max_tokens, overlap).
+    their limit give no piece. ``limits`` is kind -> (max_tokens, overlap); an
+    overlap of max_tokens or more is an error.
     """
+    wrong = sorted(kind for kind, (most, overlap) in limits.items() if overlap >= most)
+    if wrong:
+        raise ValueError(f"the overlap must be below max_tokens, for kinds {wrong}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value)

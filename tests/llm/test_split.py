@@ -73,6 +73,21 @@ def test_stretch_without_breaks_and_tiny_limits(enc):
     check(enc, " a" * 50, 2, 9)
 
 
+def test_large_overlaps_are_kept(enc):
+    for most, overlap in [(20, 10), (20, 16), (20, 19), (8, 7)]:
+        pieces = check(enc, " word, more." * 40, most, overlap)
+        assert all(p[3] == overlap for p in pieces[1:])
+    for text in ("ab" * 300, "👩‍🚀日本" * 40, "é's  x" * 40):
+        for overlap in (6, 9, 11):
+            check(enc, text, 12, overlap)
+
+
+def test_overlap_of_the_limit_or_more_is_refused(spark):
+    for limit in [(20, 20), (20, 21)]:
+        with pytest.raises(ValueError, match="overlap"):
+            pieces_mapper(vocabulary(spark), {"k": limit})
+
+
 def test_query_on_null_unknown_kind_and_short_texts(spark):
     rows = [(1, "k", "word " * 50, "x"), (2, "k", None, "x"), (3, "k", "", "x"), (4, None, "word " * 50, "x"), (5, "other", "word " * 50, "x"), (6, "k", "short", "x")]
     df = spark.createDataFrame(rows, "doc_id long, kind string, text string, piece_no string").select("doc_id", "kind", "text")
