@@ -86,7 +86,11 @@ def assign_homes(sets: DataFrame, reach: float = REACH) -> DataFrame:
 
 
 def similar_classes(classes: DataFrame, threshold: float, reach: float = REACH) -> DataFrame:
-    """(a, b, similarity) of all pairs of different classes at or above ``threshold``, a < b."""
+    """(a, b, similarity) of all pairs of different classes at or above ``threshold`` (above 0, at most 1), a < b."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold must be above 0 and at most 1: {threshold}")
+    # A set within radius + eps of a pivot must share an element with it, so that the search finds it.
+    reach = min(reach, threshold / 2)
     eps = 1 - threshold
     sets = cut_lineage(assign_homes(cut_lineage(rarest_first(classes)), reach))
     cells = sets.groupBy(F.col("home").alias("cell")).agg(F.max("d").alias("radius"))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -34,6 +35,22 @@ def test_random_clusters_match_brute_force(spark, rows):
     assert pairs(spark, rows, sets, 0.5) == expected(sets, 0.5)
 
 
+def test_thresholds_down_to_the_reach_and_below(spark, rows):
+    rng = random.Random(5)
+    sets = [(f"r{i:02d}", set(rng.sample(range(24), rng.randrange(1, 9)))) for i in range(90)]
+    for c in range(12):
+        base = [100 * (c + 1) + i for i in range(8)]
+        sets += [(f"c{c}_{k}", set(base) - {base[k]}) for k in range(8)] + [(f"d{c}_{k}", {base[k], 5000 + 10 * c + k}) for k in range(8)]
+    for threshold in (0.25, 0.1):
+        assert pairs(spark, rows, sets, threshold) == expected(sets, threshold)
+
+
+def test_threshold_of_nothing_is_refused(spark, rows):
+    for threshold in (0, -0.5, 1.5):
+        with pytest.raises(ValueError, match="threshold"):
+            pairs(spark, rows, [("a", {1}), ("b", {2})], threshold)
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sets(st.integers(0, 9), max_size=7), max_size=14))
 def test_small_dense_universes(spark, rows, sets):
