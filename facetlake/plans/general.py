@@ -38,7 +38,7 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
     kinds = table(spark, folder, "relationship_type").where("category = 'containment'").select(F.col("local_name").alias("relationship_type"), blank("code_space").alias("cs")).distinct()
     edges = rel.withColumn("cs", blank("code_space")).join(kinds, ["relationship_type", "cs"], "left_semi")
     edges = edges.select(F.lit("imported_relationship").alias("hierarchy"), F.col("graph_name").alias("scope"), F.col("to_uid").alias("node"), F.col("from_uid").alias("parent"))
-    con = table(spark, folder, "local_minimal_example").where("local_name is not null").select("scheme", "local_name", "class_uri", "concept_iri", strip(F.col("parent_uri")).alias("alias"))
+    con = table(spark, folder, "local_minimal_example").where("local_name is not null").select(F.coalesce("scheme", F.lit("")).alias("scheme"), "local_name", "class_uri", "concept_iri", strip(F.col("parent_uri")).alias("alias"))
     aliases = con.select("scheme", "local_name", F.explode(F.array("local_name", "class_uri", "concept_iri")).alias("alias")).where("alias is not null").groupBy("scheme", "alias").agg(F.min("local_name").alias("parent"))
     given = con.select("scheme", F.col("local_name").alias("node"), F.when(F.col("alias") != "", F.col("alias")).alias("alias")).distinct().join(aliases, ["scheme", "alias"], "left")
     return edges.distinct().unionByName(given.select(F.lit("local_minimal_example").alias("hierarchy"), F.col("scheme").alias("scope"), "node", "parent"))

@@ -1,6 +1,7 @@
 import random
 
 from facetlake.operators.hierarchy import descendants, hierarchy_table
+from facetlake.plans import general
 
 SCHEMA = "hierarchy string, scope string, node string, parent string, id string"
 
@@ -53,3 +54,16 @@ def test_descendants_and_empty(spark, rows):
     links = [("h", "s", "b", "a"), ("h", "s", "c", "b"), ("h", "s", "q", "q")]
     assert rows(descendants(frame(spark, links)), "ancestor", "descendant", "distance") == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
     assert hierarchy_table(frame(spark, [])).count() == 0
+
+
+def test_concepts_without_a_scheme_find_their_parents(spark, rows, tmp_path):
+    concept = "scheme string, local_name string, class_uri string, concept_iri string, parent_uri string"
+    data = {
+        "imported_relationship": ([], "graph_name string, to_uid string, from_uid string, relationship_type string, code_space string"),
+        "relationship_type": ([], "local_name string, code_space string, category string"),
+        "local_minimal_example": ([(None, "top", "u:top", None, None), (None, "low", "u:low", None, "u:top"), ("", "least", None, None, "low"), ("s", "other", None, None, "u:top")], concept),
+    }
+    for name, (given, schema) in data.items():
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(general.p2_found(spark, str(tmp_path)), "scope", "node", "root") == [("", "least", "top"), ("", "low", "top"), ("", "top", "top"), ("s", "other", "other")]
+    assert rows(general.p2_descendants(spark, str(tmp_path)), "ancestor", "descendant") == [("low", "least"), ("top", "least"), ("top", "low")]
