@@ -9,6 +9,8 @@ parsed once, whatever entities are taken from it.
 from __future__ import annotations
 
 import json
+import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +22,94 @@ _ARROW = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("
 _ROWS = 50_000
 
 
+class _Digits(str):
+    """An integer of more digits than Python converts, as its text."""
+
+
+def _integer(digits: str) -> int | _Digits:
+    most = sys.get_int_max_str_digits()
+    return _Digits(digits) if most and len(digits.lstrip("-")) > most else int(digits)
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_scan = json.JSONDecoder(parse_int=_integer).scan_once
+
+
+def _parse(text: str) -> object:
+    """What ``json.loads`` gives, for any depth and any number of digits."""
+
+    def skip(i: int) -> int:
+        return _SPACE.match(text, i).end()
+
+    def scalar(i: int) -> tuple[object, int]:
+        try:
+            return _scan(text, i)
+        except StopIteration:
+            raise ValueError(f"no value at {i}") from None
+
+    def member(i: int) -> int:
+        """Puts the name at ``i`` on ``names``; where its value begins."""
+        if text[i : i + 1] != '"':
+            raise ValueError(f"no name at {i}")
+        name, i = scalar(i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(f"no colon at {i}")
+        names.append(name)
+        return skip(i + 1)
+
+    above: list[dict | list] = []
+    names: list[str] = []
+    i = skip(0)
+    while True:
+        first = text[i : i + 1]
+        if first in ("{", "["):
+            above.append({} if first == "{" else [])
+            i = skip(i + 1)
+            if text[i : i + 1] != ("}" if first == "{" else "]"):
+                i = member(i) if first == "{" else i
+                continue
+            value, i = above.pop(), i + 1
+        else:
+            value, i = scalar(i)
+        while True:
+            i = skip(i)
+            if not above:
+                if i < len(text):
+                    raise ValueError(f"more text at {i}")
+                return value
+            last, named = above[-1], isinstance(above[-1], dict)
+            if named:
+                last[names.pop()] = value
+            else:
+                last.append(value)
+            mark = text[i : i + 1]
+            if mark == ",":
+                i = skip(i + 1)
+                i = member(i) if named else i
+                break
+            if mark != ("}" if named else "]"):
+                raise ValueError(f"no end at {i}")
+            value, i = above.pop(), i + 1
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        raise
+    except (ValueError, RecursionError):  # too many digits, too deep
+        return _parse(text)
+
+
 def document_nodes(text: str | None) -> list[tuple]:
     """Nodes of one JSON object, numbered before their children; nothing for any other text.
 
-    Of members with one name the last counts. A text nested deeper than the parser goes gives nothing.
+    Of members with one name the last counts. Any depth and any number of digits will do.
     """
     try:
-        root = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+        root = _loads(text) if text else None
+    except ValueError:
         return []
     if not isinstance(root, dict):
         return []
@@ -44,6 +126,8 @@ def document_nodes(text: str | None) -> list[tuple]:
             stack.extend((v, node, None, i) for i, v in enumerate(value))
         elif value is None:
             out.append((node, parent, label, ordinal, "null", None))
+        elif isinstance(value, _Digits):
+            out.append((node, parent, label, ordinal, "number", str(value)))
         elif isinstance(value, str):
             # A lone surrogate cannot be stored; it becomes a question mark.
             out.append((node, parent, label, ordinal, "string", value.encode("utf-8", "replace").decode()))

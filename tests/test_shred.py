@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from facetlake.operators.shred import adjacency, annotation_entities, document_nodes
+from facetlake.operators.shred import _parse, adjacency, annotation_entities, document_nodes
 from facetlake.session import written
 
 
@@ -17,6 +18,26 @@ def test_nodes_and_strictness():
         assert document_nodes(bad) == []
 
 
+def test_any_depth_and_any_number_of_digits():
+    deep = '{"_note": ' + '{"a": [' * 30_000 + "1" + "]}" * 30_000 + ', "annotations": []}'
+    nodes = document_nodes(deep)
+    assert len(nodes) == 60_003 and [n[4] for n in nodes if n[2] == "annotations"] == ["array"]
+    for digits in ("1" * 5000, "-" + "1" * 5000):
+        assert document_nodes('{"_note": [' + digits + '], "b": 7}')[1:] == [(1, 0, "b", None, "number", "7"), (2, 0, "_note", None, "array", None), (3, 2, None, 0, "number", digits)]
+    for bad in (deep[:-1], deep + "x", deep.replace("1", "01")):
+        assert document_nodes(bad) == []
+
+
+def test_parser_without_recursion_is_that_of_json():
+    for text in ('{"a": [1, -2.5e3, "x\\u00e9\\n", true, false, null, {}, [], {"b": {"c": [[1], 2]}}], "a b": " ", "a": 3}', " [ 1 , 2 ] ", '{"k":{"k":1,"k":2},"l":[{}]}', '"s"', "-0"):
+        assert _parse(text) == json.loads(text)
+    for bad in ("", "[1,]", "[,1]", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "[1 2]", "[1}", '{"a":1]', "]", "[", '{"a":1} {}', '"x', "nul", "\u00a01"):
+        with pytest.raises(ValueError):
+            json.loads(bad)
+        with pytest.raises(ValueError):
+            _parse(bad)
+
+
 def test_entities(spark, rows):
     docs = [
         json.dumps({"annotations": [None, {"annotation_uid": "u", "attributes": {"method": "m"}, "memberships": [None, {"part_path": "p", "element_indices": [3, "4", 3, None, 5.0, 1.5, True, "x", {"a": 1}]}, {"element_indices": 7}]}]}),
@@ -35,5 +56,11 @@ def test_entities(spark, rows):
     assert rows(m.where("record_id < 3"), "record_id", "annotation_pos", "membership_pos") == [(0, 1, 1), (0, 1, 2), (1, 0, 0), (2, 0, 0)]
 
 
+def test_deep_notes_and_long_numbers_beside_the_data(spark, rows):
+    data = '"annotations": [{"memberships": [{"element_indices": [3, ' + "9" * 5000 + "]}]}]"
+    docs = ["{" + data + "}", '{"_note": ' + "[" * 40_000 + "]" * 40_000 + ", " + data + "}"]
+    assert rows(shred(spark, docs)[2], "record_id", "element_index") == [(0, 3), (1, 3)]
+
+
 def test_empty_table(spark):
     assert all(d.count() == 0 for d in shred(spark, []))
