@@ -1,169 +1,178 @@
 """Full hierarchies of parent-child links of unknown depth, loops told apart.
 
-Bottom-up leaf peeling: in each round the nodes without unpeeled children send
-their subtree sizes to their parents and leave. What never leaves lies on a
-cycle. The rounds in reverse order then give every node its trail of
-ancestors, from which path, depth, root and the descendants follow; a
-descendant list is kept as rows (ancestor, descendant), so that no task ever
-holds the list of a large tree.
-
-Rounds are run several to a job; the numbers of live nodes fall fast, so the
-first jobs take few rounds and the later ones many. Once at most BOUNDED nodes
-live, a constant whatever the input, one task runs the rest of the rounds:
-deep, thin chains then cost no jobs.
+Bottom-up leaf peeling: in each round the nodes without children send the size
+of what is below them to their parents and leave. Bushy trees lose most nodes
+in the first rounds, so PEELS of them are run, in one job. A round a level
+would be as many jobs as the tallest chain is long, so what then still stands
+(the core) is peeled in strides that quadruple: every node sends what lies
+less than a stride below it to its ancestors one, two and three strides up,
+and its pointer moves four strides. A node whose pointer passes its root is
+done. When a stride ends no node's walk, what is left hangs on cycles: by then
+no tree is that deep.
+
+The order is then reversed: core nodes get their trails, stride by stride,
+and peeled nodes hang theirs below. Names travel only there, on nodes known to
+be in trees. The number of jobs is logarithmic in the depth at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetlake.session import cut_lineage
+from facetlake.session import written
 
-MOST_ROUNDS = 4
-BOUNDED = 20_000
+#: Rounds of single levels before strides are taken.
+PEELS = 3
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with a 64-bit ``id`` of (hierarchy, scope, node), proven free of collisions."""
-    for seed in range(8):
-        out = cut_lineage(nodes.withColumn("id", F.xxhash64(F.lit(seed), "hierarchy", "scope", "node")))
-        n, ids = out.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-        if n == ids:
-            return out
-    raise RuntimeError("no seed numbers the nodes without collision")
+def _numbered(links: DataFrame) -> DataFrame:
+    """(hierarchy, scope, node, parent_name, id), one row per node; ids are fixed by the writing and differ by construction."""
+    given = links.where("node is not null").select("hierarchy", F.coalesce("scope", F.lit("")).alias("scope"), "node", "parent")
+    both = given.unionByName(given.where("parent is not null").select("hierarchy", "scope", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
+    nodes = both.groupBy("hierarchy", "scope", "node").agg(F.min("parent").alias("parent_name"))
+    return written(nodes.withColumn("id", F.monotonically_increasing_id()))
 
 
-def peel(links: DataFrame, bounded: int = BOUNDED) -> tuple[list[DataFrame], DataFrame, bool]:
-    """(peeled, rest, done) of ``links`` (id, parent; parent NULL at roots).
+def _linked(nodes: DataFrame) -> DataFrame:
+    """(id, parent) of the nodes; roots have NULL and take no part in the join, where they would be one key."""
+    ids = nodes.select("hierarchy", "scope", F.col("node").alias("parent_name"), F.col("id").alias("parent"))
+    inner = nodes.where("parent_name is not null").join(ids, ["hierarchy", "scope", "parent_name"]).select("id", "parent")
+    return inner.unionByName(nodes.where("parent_name is null").select("id", F.lit(None).cast("long").alias("parent")))
 
-    ``peeled``: (id, parent, size, round) by jobs, rounds ascending; ``size``
-    counts all nodes below. ``rest`` holds (id, parent, pending, size): at most
-    ``bounded`` rows that are still to be peeled, or with ``done`` the nodes
-    on cycles, however many. A node and the messages to it meet in one
-    combined aggregation, so a round is one shuffle of few numbers.
-    """
-    kids = links.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
-    state = links.join(kids, "id", "left").select("id", "parent", F.coalesce("pending", F.lit(0)).alias("pending"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("int").alias("round"), F.lit(0).alias("tick"))
-    state = cut_lineage(state)
-    peeled: list[DataFrame] = []
-    left, step = state.count(), 1
-    # The number of the round is a column, so that all rounds are one program, compiled once.
-    leaf = (F.col("pending") == 0) & F.col("round").isNull()
-    null = lambda kind: F.lit(None).cast(kind)
-    own = F.struct("id", "parent", "pending", "size", F.when(leaf, F.col("tick")).otherwise(F.col("round")).alias("round"), "tick")
-    note = F.struct(F.col("parent").alias("id"), null("long").alias("parent"), F.lit(-1).cast("long").alias("pending"), (F.col("size") + 1).alias("size"), null("int").alias("round"), null("int").alias("tick"))
-    while left > bounded:
-        for _ in range(step):
-            state = (
-                state.select(F.explode(F.when(leaf & F.col("parent").isNotNull(), F.array(own, note)).otherwise(F.array(own))).alias("x")).select("x.*")
-                .groupBy("id").agg(F.max("parent").alias("parent"), F.sum("pending").alias("pending"), F.sum("size").alias("size"), F.max("round").alias("round"), (F.max("tick") + 1).alias("tick"))
-            )
-        state = cut_lineage(state)
-        peeled.append(state.where("round is not null").select("id", "parent", "size", "round"))
-        state = state.where("round is null")
-        before, left = left, state.count()
-        if left == before:
-            return peeled, state, True
-        step = min(MOST_ROUNDS, step * 2)
-    return peeled, state, False
-
-
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The remaining rounds and their reversal for a rest of bounded size: (id, parent, is_root, pending, size, node) to (id, trail, status, size)."""
-    df = pd.concat(list(batches) or [pd.DataFrame(columns=["id", "parent", "is_root", "pending", "size", "node"])], ignore_index=True)
-    n = len(df)
-    place = pd.Index(df["id"].astype("int64"))
-    up = np.where(df["is_root"].astype(bool), -1, place.get_indexer(df["parent"].astype("int64")))
-    pending, size = df["pending"].to_numpy(np.int64).copy(), df["size"].to_numpy(np.int64).copy()
-    gone, rounds = np.zeros(n, bool), []
-    while len(leaves := np.flatnonzero((pending == 0) & ~gone)):
-        gone[leaves] = True
-        rounds.append(leaves)
-        sent = leaves[up[leaves] >= 0]
-        np.add.at(size, up[sent], size[sent] + 1)
-        np.subtract.at(pending, up[sent], 1)
-    status = np.where(gone, 0, -1)
-    for leaves in reversed(rounds):
-        inner = leaves[up[leaves] >= 0]
-        status[inner] = np.where(status[up[inner]] < 0, -2, 0)
-    names, ids = df["node"].tolist(), df["id"].tolist()
-    out: list[tuple] = []
-    held = 0
-    for i in range(n):
-        trail: list[str] = []
-        k = i if status[i] == 0 else -1
-        while k >= 0:
-            trail.append(names[k])
-            k = up[k]
-        out.append((ids[i], trail[::-1], int(status[i]), int(size[i])))
-        held += len(trail)
-        if held > 100_000:
-            yield pd.DataFrame(out, columns=["id", "trail", "status", "size"])
-            out, held = [], 0
-    yield pd.DataFrame(out, columns=["id", "trail", "status", "size"])
-
-
-def resolve(peeled: list[DataFrame], rest: DataFrame, done: bool, names: DataFrame) -> DataFrame:
-    """(id, trail, status, size) by the peeling rounds in reverse: ``trail`` names the nodes from the root to the node.
-
-    ``status``: 0 in a tree, -1 on a cycle, -2 below one; the trail is empty for the latter two.
+
+def peel(links: DataFrame, rounds: int = PEELS) -> DataFrame:
+    """``links`` (id, parent) after some rounds: id, parent, size (nodes below, as far as they left), round (NULL in the core).
+
+    A node and the messages to it meet in one combined aggregation, so a round is one shuffle of few numbers.
     """
-    names = names.select("id", "node")
-    empty = F.array().cast("array<string>")
-    if done:
-        known = rest.select("id", empty.alias("trail"), F.lit(-1).alias("status"), "size")
-    else:
-        # At most BOUNDED rows, so one task is no bottleneck and holds no group that grows with the data.
-        known = rest.join(names, "id").select("id", F.coalesce("parent", F.lit(0)).alias("parent"), F.col("parent").isNull().alias("is_root"), "pending", "size", "node").coalesce(1).mapInPandas(_finish, "id long, trail array<string>, status int, size long")
-    known = cut_lineage(known)
-    is_root = F.col("parent").isNull()
-    up = lambda known: known.select(F.col("id").alias("parent"), F.col("trail").alias("t"), F.col("status").alias("s"))
-    trail = F.when(is_root, F.array("node")).when(F.col("s") == 0, F.concat("t", F.array("node"))).when(F.col("s").isNotNull(), empty)
-    status = F.when(is_root, F.lit(0)).when(F.col("s") == 0, F.lit(0)).when(F.col("s").isNotNull(), F.lit(-2))
-    for block in reversed(peeled):
-        block = cut_lineage(block.join(names, "id"))
-        lo, hi = block.agg(F.min("round"), F.max("round")).first()
-        if lo is None:  # a job in which nothing could leave
-            continue
-        got = block.join(up(known), "parent", "left").select("id", "parent", "node", "size", trail.alias("trail"), status.alias("status"))
-        if hi > lo:
-            base = cut_lineage(got)
-            got = base
-            for _ in range(hi - lo):
-                got = base.join(up(got), "parent", "left").select("id", "parent", "node", "size", F.coalesce("trail", trail).alias("trail"), F.coalesce("status", status).alias("status"))
-        # One table, so that the plan of the next block is no longer than this one's.
-        known = cut_lineage(known.unionByName(got.select("id", "trail", "status", "size")))
-    return known
-
-
-def hierarchies(links: DataFrame, bounded: int = BOUNDED) -> DataFrame:
-    """Every node of ``links`` (hierarchy, scope, node, parent) with its trail, size and status.
-
-    ``links`` may repeat rows and name a node with and without its parent; a
-    node has at most one parent (of several, which would break that rule, the
-    smallest is taken). Parents are nodes too. NULL nodes are left out, a NULL
-    scope is ''. Empty input gives no rows.
+    kids = links.where("parent is not null").select(F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(1).cast("long").alias("pending"))
+    state = links.select("id", "parent", F.lit(0).cast("long").alias("pending")).unionByName(kids).groupBy("id").agg(F.max("parent").alias("parent"), F.sum("pending").alias("pending"))
+    state = state.select("id", "parent", "pending", F.lit(0).cast("long").alias("size"), F.lit(None).cast("int").alias("round"))
+    for tick in range(rounds):
+        leaf = (F.col("pending") == 0) & F.col("round").isNull()
+        own = F.struct("id", "parent", "pending", "size", F.when(leaf, F.lit(tick)).otherwise(F.col("round")).alias("round"))
+        note = F.struct(F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(-1).cast("long").alias("pending"), (F.col("size") + 1).alias("size"), F.lit(None).cast("int").alias("round"))
+        state = state.select(F.explode(F.when(leaf & F.col("parent").isNotNull(), F.array(own, note)).otherwise(F.array(own))).alias("x")).select("x.*")
+        state = state.groupBy("id").agg(F.max("parent").alias("parent"), F.sum("pending").alias("pending"), F.sum("size").alias("size"), F.max("round").alias("round"))
+    return written(state.drop("pending"))
+
+
+def _strides(core: DataFrame) -> tuple[DataFrame, int, int]:
+    """((id, anc, below) of the core, rounds, nodes left on or below cycles): strides until none ends a walk.
+
+    ``anc`` is NULL for nodes of trees; ``below`` counts the nodes below, right for those only.
     """
-    given = links.where("node is not null").select("hierarchy", F.coalesce("scope", F.lit("")).alias("scope"), "node", "parent")
-    nodes = given.unionByName(given.where("parent is not null").select("hierarchy", "scope", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-    nodes = _numbered(nodes.groupBy("hierarchy", "scope", "node").agg(F.min("parent").alias("parent_name")))
-    ids = nodes.select("hierarchy", "scope", F.col("node").alias("parent_name"), F.col("id").alias("parent"))
-    linked = nodes.join(ids, ["hierarchy", "scope", "parent_name"], "left").select("id", "parent")
-    return resolve(*peel(linked, bounded), nodes).join(nodes.drop("parent_name"), "id").select("hierarchy", "scope", "node", "trail", "status", "size")
+    state = core.select("id", F.col("parent").alias("anc"), (F.col("size") + 1).alias("below"))
+    left, rounds = state.where("anc is not null").count(), 0
+    while left:
+        hop = state.select("id", "anc")
+        far = hop.where("anc is not null")
+        # The ancestors one, two and three strides up; the pointer moves to the fourth.
+        two = far.withColumnRenamed("anc", "a1").join(hop.withColumnsRenamed({"id": "a1", "anc": "a2"}), "a1")
+        three = two.where("a2 is not null").join(hop.withColumnsRenamed({"id": "a2", "anc": "a3"}), "a2")
+        four = three.where("a3 is not null").join(hop.withColumnsRenamed({"id": "a3", "anc": "a4"}), "a3")
+        none = F.lit(None).cast("long")
+        walk = two.where("a2 is null").select("id", "a1", none.alias("a2"), none.alias("a3"), none.alias("a4"))
+        walk = walk.unionByName(three.where("a3 is null").select("id", "a1", "a2", "a3", none.alias("a4"))).unionByName(four.select("id", "a1", "a2", "a3", "a4"))
+        told = state.join(walk, "id", "left").select(
+            F.explode(F.array(
+                F.struct("id", F.col("a4").alias("anc"), "below"), *[F.struct(F.col(a).alias("id"), none.alias("anc"), "below") for a in ("a1", "a2", "a3")]
+            )).alias("x")
+        ).select("x.*").where("id is not null")
+        state = written(told.groupBy("id").agg(F.max("anc").alias("anc"), F.sum("below").alias("below")))
+        before, left = left, state.where("anc is not null").count()
+        if left == before:
+            break
+        rounds += 1
+    return state, rounds, left
+
 
+def _on_cycles(core: DataFrame, stuck: DataFrame) -> DataFrame:
+    """Of the nodes ``stuck`` (id) on or below cycles, those on one.
 
-def hierarchy_table(links: DataFrame, bounded: int = BOUNDED) -> DataFrame:
+    The nodes that something points to over 2^k links shrink with k to those
+    on cycles, and on these every stride is one to one: once a doubling drops
+    none, they are left.
+    """
+    hop = written(core.join(stuck, "id", "left_semi").select("id", F.col("parent").alias("anc")))
+    hit, n = hop.select(F.col("anc").alias("id")).distinct(), -1
+    while True:
+        hit = written(hit)
+        before, n = n, hit.count()
+        if n == before:
+            return hit
+        hop = written(hop.join(hop.select(F.col("id").alias("anc"), F.col("anc").alias("next")), "anc").select("id", F.col("next").alias("anc")))
+        hit = hop.select(F.col("anc").alias("id")).distinct()
+
+
+def _trails(tree: DataFrame, rounds: int) -> DataFrame:
+    """(id, trail) of the core nodes ``tree`` (id, parent, node), all in trees of at most 4^rounds levels."""
+    state = written(tree.select("id", F.col("parent").alias("anc"), F.array("node").alias("trail")))
+    for _ in range(rounds):
+        # Three looks at one table, so the stride quadruples in one job; walks that ended are not sent again.
+        up = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("trail").alias("head"))
+        done, state_out = state.where("anc is null"), []
+        rest = state.where("anc is not null")
+        for _ in range(3):
+            step = rest.join(up, "anc").select("id", F.col("next").alias("anc"), F.concat("head", "trail").alias("trail"))
+            state_out.append(step.where("anc is null"))
+            rest = step.where("anc is not null")
+        for part in (*state_out, rest):
+            done = done.unionByName(part)
+        state = written(done)
+    return state.select("id", "trail")
+
+
+def hierarchies(links: DataFrame, peels: int = PEELS) -> DataFrame:
+    """Every node of ``links`` (hierarchy, scope, node, parent): hierarchy, scope, node, trail, status, size.
+
+    ``trail`` names the nodes from the root to the node; ``status`` is 0 in a
+    tree, -1 on a cycle, -2 below one, where the trail is empty; ``size``
+    counts the nodes below. ``links`` may repeat rows and name a node with and
+    without its parent; a node has at most one parent (of several, which would
+    break that rule, the smallest is taken). Parents are nodes too. NULL nodes
+    are left out, a NULL scope is ''. Empty input gives no rows. Joins on a
+    parent with very many children are split by adaptive execution.
+    """
+    nodes = _numbered(links)
+    state = peel(_linked(nodes), peels)
+    core = state.where("round is null").select("id", "parent", "size")
+    strode, rounds, left = _strides(core)
+    names = nodes.select("id", "node")
+    empty = F.array().cast("array<string>")
+    tree = strode.where("anc is null").select("id", (F.col("below") - 1).alias("size"))
+    trails = _trails(core.join(tree, "id", "left_semi").select("id", "parent").join(names, "id"), rounds)
+    known = trails.join(tree, "id").select("id", "trail", F.lit(0).alias("status"), "size")
+    if left:
+        stuck = strode.where("anc is not null").select("id")
+        cyclic = _on_cycles(core, stuck).withColumn("on", F.lit(-1))
+        known = known.unionByName(stuck.join(cyclic, "id", "left").select("id", empty.alias("trail"), F.coalesce("on", F.lit(-2)).alias("status"), F.lit(0).cast("long").alias("size")))
+    # Peeled nodes: the names up to the core, or to a root that was peeled itself, then one join with the core.
+    gone = written(state.where("round is not null").join(names, "id").select("id", "parent", "size", "node"))
+    walk, roots = gone.select("id", "size", F.col("parent").alias("at"), F.array("node").alias("names")), []
+    step = gone.select(F.col("id").alias("at"), F.col("parent").alias("next"), F.col("node").alias("name"))
+    for _ in range(peels - 1):
+        roots.append(walk.where("at is null"))
+        walk = walk.where("at is not null").join(step, "at", "left").select(
+            "id", "size", F.when(F.col("name").isNull(), F.col("at")).otherwise(F.col("next")).alias("at"), F.when(F.col("name").isNull(), F.col("names")).otherwise(F.concat(F.array("name"), F.col("names"))).alias("names")
+        )
+    roots.append(walk.where("at is null"))
+    top = known.select(F.col("id").alias("at"), F.col("trail").alias("head"), F.col("status").alias("above"))
+    in_tree: Column = F.col("above") == 0
+    hung = walk.where("at is not null").join(top, "at").select("id", F.when(in_tree, F.concat("head", "names")).otherwise(empty).alias("trail"), F.when(in_tree, 0).otherwise(-2).alias("status"), "size")
+    for part in roots:
+        hung = hung.unionByName(part.select("id", F.col("names").alias("trail"), F.lit(0).alias("status"), "size"))
+    return known.unionByName(hung).join(nodes.drop("parent_name"), "id").select("hierarchy", "scope", "node", "trail", "status", "size")
+
+
+def hierarchy_table(links: DataFrame, peels: int = PEELS) -> DataFrame:
     """One row per node: hierarchy, scope, node, root, depth, n_descendants, path.
 
     On a cycle: root '', depth -1, n_descendants -1, path ''; below a cycle the same with depth -2.
     """
     tree = F.col("status") == 0
-    return hierarchies(links, bounded).select(
+    return hierarchies(links, peels).select(
         "hierarchy", "scope", "node", F.when(tree, F.get("trail", F.lit(0))).otherwise("").alias("root"),
         F.when(tree, F.size("trail") - 1).otherwise(F.col("status")).cast("int").alias("depth"),
         F.when(tree, F.col("size")).otherwise(-1).cast("int").alias("n_descendants"),
@@ -172,7 +181,7 @@ def hierarchy_table(links: DataFrame, bounded: int = BOUNDED) -> DataFrame:
 
 
 def descendants(links: DataFrame) -> DataFrame:
-    """(hierarchy, scope, ancestor, descendant, distance) of all trees, one row per pair."""
+    """(hierarchy, scope, ancestor, descendant, distance) of all trees, one row per pair: as many as all paths have nodes."""
     return hierarchies(links).where("status = 0").select("hierarchy", "scope", F.col("node").alias("descendant"), F.size("trail").alias("n"), F.posexplode(F.slice("trail", 1, F.size("trail") - 1)).alias("i", "ancestor")).select(
         "hierarchy", "scope", "ancestor", "descendant", (F.col("n") - 1 - F.col("i")).cast("long").alias("distance")
     )

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from facetlake.session import written
+
 BUCKET_SECONDS = 30 * 86_400
 
 
@@ -85,5 +87,6 @@ def attribute_history(df: DataFrame, key: str, at: str, recency: list[str], attr
     - NULL is a value like any other; NaN equals NaN;
     - an empty table gives no versions; other columns of ``df`` are not touched, whatever their names.
     """
-    events = latest_statements(df, key, at, recency, attrs)
+    # Read twice below, aggregated once.
+    events = written(latest_statements(df, key, at, recency, attrs))
     return versions(change_log(events, key, at, attrs, bucket_seconds), key, at, attrs, absent)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetlake.functions.text import month_of
-from facetlake.session import cut_lineage, salted_join
+from facetlake.session import cut_lineage, salted_join, written
 
 
 def pack_bits(offsets: np.ndarray) -> bytes:
@@ -82,6 +82,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int = 0) -> D
     wanted = r.groupBy("domain", "ref_key", "period").agg(F.count(F.lit(1)).alias("n"))
     keys = wanted.select("domain", "ref_key", F.lit(False).alias("is_parent"), F.lit(None).cast("long").alias("live_us")).distinct().unionByName(p.withColumn("is_parent", F.lit(True)))
     keys = keys.groupBy("domain", "ref_key").agg(F.max("is_parent").alias("is_parent"), F.min("live_us").alias("live_us"))
+    keys = written(keys)
     if not ranges:
         ranges = max(1, -(-keys.count() // 16_384))
     dictionary = cut_lineage(

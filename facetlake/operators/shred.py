@@ -1,9 +1,11 @@
 """Nested records as flat related tables, by way of an adjacency table.
 
 Every value of a record becomes a node row (node, parent, label, ordinal,
-kind, scalar). Entity tables come from joining object nodes with their scalar
-children; lists are the item nodes below a list node. The record itself is
-parsed once, whatever entities are taken from it.
+kind, scalar); a node's name is the places on the way to it, so ``0.2.1`` lies
+below ``0.2``. Structured columns are shredded by JVM expressions, JSON text by
+one parse a record. Object nodes meet their members in one aggregation that
+pivots them into a row an object; entity tables are these rows linked through
+the lists they lie in.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NODES = "record_table string, record_id long, node int, parent int, label string, ordinal int, kind string, scalar string"
-_ARROW = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
+NODES = "record_table string, record_id long, node string, parent string, label string, ordinal int, kind string, scalar string"
+_ARROW = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("node", pa.string()), ("parent", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
 _ROWS = 50_000
 
 
@@ -32,7 +35,14 @@ def _integer(digits: str) -> int | _Digits:
 
 
 _SPACE = re.compile(r"[ \t\n\r]*")
-_scan = json.JSONDecoder(parse_int=_integer).scan_once
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+_strict = json.JSONDecoder(parse_constant=_no_constant)
+_scan = json.JSONDecoder(parse_int=_integer, parse_constant=_no_constant).scan_once
 
 
 def _parse(text: str) -> object:
@@ -95,7 +105,7 @@ def _parse(text: str) -> object:
 
 def _loads(text: str) -> object:
     try:
-        return json.loads(text)
+        return _strict.decode(text)
     except json.JSONDecodeError:
         raise
     except (ValueError, RecursionError):  # too many digits, too deep
@@ -103,7 +113,7 @@ def _loads(text: str) -> object:
 
 
 def document_nodes(text: str | None) -> list[tuple]:
-    """Nodes of one JSON object, numbered before their children; nothing for any other text.
+    """Nodes of one JSON object; nothing for any other text.
 
     Of members with one name the last counts. Any depth and any number of digits will do.
     """
@@ -114,16 +124,15 @@ def document_nodes(text: str | None) -> list[tuple]:
     if not isinstance(root, dict):
         return []
     out: list[tuple] = []
-    stack: list[tuple] = [(root, -1, None, None)]
+    stack: list[tuple] = [(root, "0", None, None, None)]
     while stack:
-        value, parent, label, ordinal = stack.pop()
-        node = len(out)
+        value, node, parent, label, ordinal = stack.pop()
         if isinstance(value, dict):
             out.append((node, parent, label, ordinal, "object", None))
-            stack.extend((v, node, k, None) for k, v in value.items())
+            stack.extend((v, f"{node}.{i}", node, k, None) for i, (k, v) in enumerate(value.items()))
         elif isinstance(value, list):
             out.append((node, parent, label, ordinal, "array", None))
-            stack.extend((v, node, None, i) for i, v in enumerate(value))
+            stack.extend((v, f"{node}.{i}", node, None, i) for i, v in enumerate(value))
         elif value is None:
             out.append((node, parent, label, ordinal, "null", None))
         elif isinstance(value, _Digits):
@@ -159,24 +168,84 @@ def adjacency(df: DataFrame, record_table: str, record_id: str, payload: Column)
 _REC = ["record_table", "record_id"]
 
 
-def members(nodes: DataFrame, parents: DataFrame, label: str, how: str = "inner", **keep: str) -> DataFrame:
-    """Rows of ``parents`` (column ``node``) with the columns ``keep`` (new name = node column) of their member ``label``."""
-    child = nodes.where(F.col("label") == label).select(*_REC, F.col("parent").alias("node"), *[F.col(c).alias(n) for n, c in keep.items()])
-    return parents.join(child, [*_REC, "node"], how)
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
 
+def _kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.StructType, T.MapType)):
+        return "object"
+    if isinstance(dtype, T.ArrayType):
+        return "array"
+    return "boolean" if isinstance(dtype, T.BooleanType) else "number" if isinstance(dtype, T.NumericType) else "string"
 
-def items(nodes: DataFrame, lists: DataFrame, position: str) -> DataFrame:
-    """One row per place of each list of ``lists`` (columns ``list_node``, ``list_kind``, ``list_scalar``), NULL places included.
 
-    Adds ``node``, ``kind``, ``scalar`` and ``position``. An object or scalar standing where a list is expected is a list of one; NULL is none.
+def struct_adjacency(df: DataFrame, record_table: str, record_id: str, record: Column) -> DataFrame:
+    """The node table of the struct ``record`` of every row, whatever its nesting; NULL is an absent member, but counts as a place of a list.
+
+    Each level of lists is one generator; a level that a reader does not ask for is pruned.
     """
-    below = nodes.where("ordinal is not null").select(*_REC, F.col("parent").alias("list_node"), "node", "kind", "scalar", F.col("ordinal").alias(position))
-    many = lists.where("list_kind = 'array'").drop("list_kind", "list_scalar").join(below, [*_REC, "list_node"]).drop("list_node")
-    single = lists.where("list_kind not in ('array', 'null')").withColumn(position, F.lit(0)).withColumnsRenamed({"list_node": "node", "list_kind": "kind", "list_scalar": "scalar"})
-    return many.unionByName(single)
+    rows = df.select(F.lit(record_table).alias("record_table"), F.col(record_id).cast("long").alias("record_id"), record.alias("v"))
+    out: list[DataFrame] = []
+
+    def level(frame: DataFrame, dtype: T.DataType, node: Column, parent: Column, label: Column, ordinal: Column) -> None:
+        """Rows of the values ``v`` of ``frame`` down to the next lists, and the levels below those."""
+        here: list[Column] = []
+        lists: list[tuple[Column, T.DataType, Column]] = []
+
+        def visit(v: Column, dtype: T.DataType, node: Column, parent: Column, label: Column, ordinal: Column) -> None:
+            nested = isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
+            row = F.struct(node.alias("node"), parent.alias("parent"), label.alias("label"), ordinal.cast("int").alias("ordinal"), F.lit(_kind(dtype)).alias("kind"), (_none() if nested else v.cast("string")).alias("scalar"))
+            here.append(F.when(v.isNotNull(), row))
+            if isinstance(dtype, T.StructType):
+                for i, f in enumerate(dtype.fields):
+                    visit(v.getField(f.name), f.dataType, F.concat(node, F.lit(f".{i}")), node, F.lit(f.name), F.lit(None))
+            elif nested:
+                lists.append((v, dtype, node))
+
+        visit(F.col("v"), dtype, node, parent, label, ordinal)
+        if len(here) == 1:
+            out.append(frame.where("v is not null").select(*_REC, here[0].alias("x")).select(*_REC, "x.*"))
+        else:
+            out.append(frame.select(*_REC, F.explode(F.array_compact(F.array(*here))).alias("x")).select(*_REC, "x.*"))
+        for v, dtype, node in lists:
+            if isinstance(dtype, T.MapType):
+                below = frame.select(*_REC, node.alias("up"), F.posexplode(v).alias("i", "k", "v"))
+                level(below, dtype.valueType, F.concat_ws(".", "up", "i"), F.col("up"), F.col("k").cast("string"), F.lit(None))
+            else:
+                below = frame.select(*_REC, node.alias("up"), F.posexplode(v).alias("i", "v"))
+                level(below, dtype.elementType, F.concat_ws(".", "up", "i"), F.col("up"), _none(), F.col("i"))
+
+    level(rows, rows.schema["v"].dataType, F.lit("0"), _none(), _none(), F.lit(None))
+    nodes = out[0]
+    for more in out[1:]:
+        nodes = nodes.unionByName(more)
+    return nodes
 
 
-_LIST = {"list_node": "node", "list_kind": "kind", "list_scalar": "scalar"}
+_MEMBERS = ["annotations", "annotation_uid", "attributes", "attributes_json", "memberships", "asset_part_id", "asset_uri", "part_path", "element_indices"]
+
+
+def object_rows(nodes: DataFrame, members: list[str], inner: str) -> DataFrame:
+    """One row per object node: its ``members`` as structs (node, kind, scalar), pivoted in one aggregation.
+
+    ``list_node`` is the list it lies in, or itself where it stands for a list
+    of one, and ``position`` its place there. ``inner`` names a member of
+    members: all of these come as a list (parent, scalar) in a column of that name.
+    """
+    place = F.struct(F.coalesce(F.when(F.col("ordinal").isNotNull(), F.col("parent")), F.col("node")).alias("list_node"), F.coalesce("ordinal", F.lit(0)).alias("position"))
+    own = F.struct(F.col("node").alias("at"), place.alias("place"), _none().alias("label"), F.lit(None).cast("struct<node: string, kind: string, scalar: string>").alias("member"), _none().alias("parent"))
+    held = F.struct(
+        F.when(F.col("label") == inner, F.regexp_extract("parent", r"^(.*)\.", 1)).otherwise(F.col("parent")).alias("at"), F.lit(None).cast("struct<list_node: string, position: int>").alias("place"),
+        "label", F.struct("node", "kind", "scalar").alias("member"), "parent",
+    )
+    wanted = F.col("label").isin([*members, inner])
+    is_object = F.col("kind") == "object"
+    rows = nodes.where(is_object | wanted).select(*_REC, F.explode(F.array_compact(F.array(F.when(is_object, own), F.when(wanted, held)))).alias("x")).select(*_REC, "x.*")
+    return rows.groupBy(*_REC, "at").agg(
+        F.max("place").alias("place"), *[F.max(F.when(F.col("label") == m, F.col("member"))).alias(m) for m in members],
+        F.collect_list(F.when(F.col("label") == inner, F.struct("parent", F.col("member.scalar").alias("scalar")))).alias(inner),
+    ).where("place is not null").select(*_REC, F.col("at").alias("node"), "place.*", *members, inner)
 
 
 def annotation_entities(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,28 +255,26 @@ def annotation_entities(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     - memberships: + membership_pos, asset_part_id, asset_uri, part_path; one row per object in ``memberships``, linked by annotation_pos;
     - elements: record_table, record_id, annotation_pos, membership_pos, element_index, part_path, method; distinct non-null indices.
 
-    Positions count NULL places. ``method`` is that of ``attributes``, else of ``attributes_json``, else ''; ``part_path`` is '' if absent.
+    Positions count NULL places; an object or scalar standing where a list is expected is a list of one. ``method`` is that of
+    ``attributes``, else of ``attributes_json``, else ''; ``part_path`` is '' if absent.
     An index given as text is that number; what is no whole number of 64 bits is no index.
     """
-    top = nodes.where("parent = -1").select(*_REC, "node")
-    ann = items(nodes, members(nodes, top, "annotations", **_LIST).drop("node"), "annotation_pos").where("kind = 'object'").drop("kind", "scalar")
-    ann = members(nodes, ann, "annotation_uid", "left", annotation_uid="scalar")
-    ann = members(nodes, ann, "attributes", "left", at_node="node")
-    ann = members(nodes, ann, "attributes_json", "left", aj_node="node", aj_text="scalar")
-    said = nodes.where("label = 'method' and scalar is not null").select(*_REC, F.col("parent").alias("m_node"), F.col("scalar").alias("m"))
-    ann = ann.join(said.withColumnsRenamed({"m_node": "at_node", "m": "m1"}), [*_REC, "at_node"], "left").join(said.withColumnsRenamed({"m_node": "aj_node", "m": "m2"}), [*_REC, "aj_node"], "left")
-    ann = ann.select(*_REC, "node", "annotation_pos", "annotation_uid", F.coalesce("m1", "m2", F.get_json_object("aj_text", "$.method"), F.lit("")).alias("method"))
-    mem = items(nodes, members(nodes, ann, "memberships", **_LIST).drop("node"), "membership_pos").where("kind = 'object'").drop("kind", "scalar")
-    for name in ("asset_part_id", "asset_uri", "part_path"):
-        mem = members(nodes, mem, name, "left", **{name: "scalar"})
-    mem = mem.withColumn("part_path", F.coalesce("part_path", F.lit("")))
-    lists = members(nodes, mem.drop("annotation_uid", "asset_part_id", "asset_uri"), "element_indices", **_LIST)
+    objects = object_rows(nodes, _MEMBERS, "method")
+    text = lambda name: F.col(f"{name}.scalar")
+    method = lambda of: F.get(F.filter("method", lambda m: (m["parent"] == F.col(f"{of}.node")) & m["scalar"].isNotNull()), F.lit(0))["scalar"]
+    top = objects.where("node = '0'").select(*_REC, F.col("annotations.node").alias("list_node")).where("list_node is not null")
+    ann = objects.join(top, [*_REC, "list_node"]).select(
+        *_REC, F.col("position").alias("annotation_pos"), text("annotation_uid").alias("annotation_uid"),
+        F.coalesce(method("attributes"), method("attributes_json"), F.get_json_object(text("attributes_json"), "$.method"), F.lit("")).alias("method"), F.col("memberships.node").alias("list_node"),
+    )
+    mem = objects.select(*_REC, "list_node", "position", "asset_part_id", "asset_uri", "part_path", "element_indices").join(ann.where("list_node is not null"), [*_REC, "list_node"]).select(
+        *_REC, "annotation_pos", "annotation_uid", "method", F.col("position").alias("membership_pos"), text("asset_part_id").alias("asset_part_id"), text("asset_uri").alias("asset_uri"),
+        F.coalesce(text("part_path"), F.lit("")).alias("part_path"), F.col("element_indices.node").alias("list_node"),
+    )
     number = F.trim("scalar")
-    whole = F.when(F.col("kind").isin("number", "string"), F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("long")).when(number.rlike(r"^[+-]?\d+\.0*$"), F.substring_index(number, ".", 1).try_cast("long")))
+    whole = F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("long")).when(number.rlike(r"^[+-]?\d+\.0*$"), F.substring_index(number, ".", 1).try_cast("long"))
+    items = nodes.where(F.col("kind").isin("number", "string") & (F.col("ordinal").isNotNull() | (F.col("label") == "element_indices")))
+    items = items.select(*_REC, F.coalesce(F.when(F.col("ordinal").isNotNull(), F.col("parent")), F.col("node")).alias("list_node"), whole.alias("element_index")).where("element_index is not null")
     # Items arrive partitioned by their list, so the repeats of a list meet without another shuffle.
-    elements = items(nodes, lists.drop("node").withColumn("owner", F.col("list_node")), "place").withColumn("element_index", whole).where("element_index is not null")
-    elements = elements.dropDuplicates([*_REC, "owner", "element_index"])
-    return (
-        ann.drop("node"), mem.drop("node"),
-        elements.select(*_REC, "annotation_pos", "membership_pos", "element_index", "part_path", "method"),
-    )
+    elements = items.join(mem.select(*_REC, "annotation_pos", "membership_pos", "part_path", "method", "list_node").where("list_node is not null"), [*_REC, "list_node"]).dropDuplicates([*_REC, "list_node", "element_index"])
+    return ann.drop("list_node"), mem.drop("list_node"), elements.select(*_REC, "annotation_pos", "membership_pos", "element_index", "part_path", "method")

@@ -12,12 +12,10 @@ from facetlake.sources.tables import table
 
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    batch = table(spark, folder, "example_annotation_batch")
-    raw = table(spark, folder, "batch_raw")
-    entry = F.to_json(F.struct(F.array(F.struct("annotation_uid", "attributes", "attributes_json", "memberships")).alias("annotations")))
-    return written(
-        shred.adjacency(batch, "example_annotation_batch", "entry_id", entry).unionByName(shred.adjacency(raw, "batch_raw", "raw_id", F.col("payload")))
-    )
+    """Nodes of both sources; an entry is the only object where a document has its list of annotations."""
+    batch, raw = table(spark, folder, "example_annotation_batch"), table(spark, folder, "batch_raw")
+    entry = F.struct(F.struct("annotation_uid", "attributes", "attributes_json", "memberships").alias("annotations"))
+    return shred.struct_adjacency(batch, "example_annotation_batch", "entry_id", entry).unionByName(written(shred.adjacency(raw, "batch_raw", "raw_id", F.col("payload"))))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,24 +115,29 @@ def queries() -> dict:
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _URI_KEY = "CASE WHEN contains(u, '#') THEN url_decode(split_part(u, '#', -1)) WHEN lower(u) LIKE 'urn:%' THEN url_decode(split_part(u, ':', -1)) END"
-ORACLE = {
-    "p2_found": f"""WITH RECURSIVE kinds AS (SELECT DISTINCT local_name, coalesce(trim(code_space), '') cs FROM relationship_type WHERE category = 'containment'),
-alias AS (SELECT scheme, a, min(local_name) p FROM (SELECT scheme, local_name, unnest([local_name, class_uri, concept_iri]) a FROM local_minimal_example) WHERE a IS NOT NULL GROUP BY ALL),
+_STATED = f"""WITH e AS (SELECT annotation_id, CAST(epoch(CAST(assessed_at AS TIMESTAMPTZ)) AS BIGINT) sec, updated_at, assessment_id, lower({_STRIP.format("status")}) st, round(confidence, 4) cf FROM usap_assessment WHERE assessed_at IS NOT NULL AND annotation_id IS NOT NULL),
+d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY annotation_id, sec ORDER BY updated_at DESC NULLS LAST, assessment_id DESC) = 1),"""
+_TREE = f"""WITH RECURSIVE kinds AS (SELECT DISTINCT local_name, coalesce(trim(code_space), '') cs FROM relationship_type WHERE category = 'containment'),
+alias AS (SELECT scheme, a, min(local_name) p FROM (SELECT coalesce(scheme, '') scheme, local_name, unnest([local_name, class_uri, concept_iri]) a FROM local_minimal_example) WHERE a IS NOT NULL GROUP BY ALL),
 given AS (SELECT 'imported_relationship' h, coalesce(graph_name, '') s, to_uid n, from_uid p FROM imported_relationship r SEMI JOIN kinds k ON k.local_name = r.relationship_type AND k.cs = coalesce(trim(r.code_space), '') WHERE to_uid IS NOT NULL AND from_uid IS NOT NULL
-  UNION SELECT 'local_minimal_example', c.scheme, c.local_name, a.p FROM local_minimal_example c LEFT JOIN alias a ON a.scheme = c.scheme AND a.a = {_STRIP.format("c.parent_uri")} AND a.a <> ''),
+  UNION SELECT 'local_minimal_example', coalesce(c.scheme, ''), c.local_name, a.p FROM local_minimal_example c LEFT JOIN alias a ON a.scheme = coalesce(c.scheme, '') AND a.a = {_STRIP.format("c.parent_uri")} AND a.a <> ''),
 up AS (SELECT h, s, n, min(p) p FROM (SELECT * FROM given UNION ALL SELECT h, s, p, NULL FROM given WHERE p IS NOT NULL) GROUP BY ALL),
 anc(h, s, n, a) AS (SELECT h, s, n, p FROM up WHERE p IS NOT NULL UNION SELECT x.h, x.s, x.n, u.p FROM anc x JOIN up u ON u.h = x.h AND u.s = x.s AND u.n = x.a WHERE u.p IS NOT NULL),
 looped AS (SELECT h, s, n FROM anc WHERE n = a), hit AS (SELECT DISTINCT x.h, x.s, x.n FROM anc x SEMI JOIN looped l ON l.h = x.h AND l.s = x.s AND l.n = x.a),
-depth AS (SELECT h, s, n, count(*) d FROM anc GROUP BY ALL), below AS (SELECT h, s, a n, count(*) k FROM anc GROUP BY ALL),
+depth AS (SELECT h, s, n, count(*) d FROM anc GROUP BY ALL), below AS (SELECT h, s, a n, count(*) k FROM anc GROUP BY ALL),"""
+ORACLE = {
+    "p2_found": f"""{_TREE}
 line AS (SELECT x.h, x.s, x.n, string_agg(x.a, '/' ORDER BY coalesce(d.d, 0)) trail, min_by(x.a, coalesce(d.d, 0)) root FROM anc x LEFT JOIN depth d ON d.h = x.h AND d.s = x.s AND d.n = x.a GROUP BY ALL)
 SELECT u.h AS hierarchy, u.s AS scope, u.n AS node, CASE WHEN t.n IS NOT NULL THEN '' ELSE coalesce(line.root, u.n) END AS root, CAST(CASE WHEN l.n IS NOT NULL THEN -1 WHEN t.n IS NOT NULL THEN -2 ELSE coalesce(d.d, 0) END AS INTEGER) AS depth,
 CAST(CASE WHEN t.n IS NOT NULL THEN -1 ELSE coalesce(b.k, 0) END AS INTEGER) AS n_descendants, CASE WHEN t.n IS NOT NULL THEN '' ELSE coalesce(line.trail || '/' || u.n, u.n) END AS path
 FROM up u LEFT JOIN looped l USING (h, s, n) LEFT JOIN hit t USING (h, s, n) LEFT JOIN depth d USING (h, s, n) LEFT JOIN below b USING (h, s, n) LEFT JOIN line USING (h, s, n)""",
-    "p4_found": f"""WITH e AS (SELECT annotation_id, CAST(epoch(CAST(assessed_at AS TIMESTAMPTZ)) AS BIGINT) sec, updated_at, assessment_id, lower({_STRIP.format("status")}) st, round(confidence, 4) cf FROM usap_assessment WHERE assessed_at IS NOT NULL AND annotation_id IS NOT NULL),
-d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY annotation_id, sec ORDER BY updated_at DESC NULLS LAST, assessment_id DESC) = 1),
+    "p4_found": f"""{_STATED}
 c AS (SELECT * FROM d WINDOW w AS (PARTITION BY annotation_id ORDER BY sec) QUALIFY row_number() OVER w = 1 OR st IS DISTINCT FROM lag(st) OVER w OR cf IS DISTINCT FROM lag(cf) OVER w),
 v AS (SELECT *, lead(sec) OVER (PARTITION BY annotation_id ORDER BY sec) nxt FROM c)
 SELECT annotation_id, strftime(make_timestamp(sec * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS valid_from, coalesce(strftime(make_timestamp(nxt * 1000000), '%Y-%m-%dT%H:%M:%SZ'), '') AS valid_to FROM v WHERE st IS DISTINCT FROM 'superseded'""",
+    "p4_change_log": f"""{_STATED}
+x AS (SELECT annotation_id, sec, 'status' a, st v FROM d UNION ALL SELECT annotation_id, sec, 'confidence', CAST(cf AS VARCHAR) FROM d)
+SELECT annotation_id, strftime(make_timestamp(sec * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS changed_at, a AS attribute, v AS value FROM x WINDOW w AS (PARTITION BY annotation_id, a ORDER BY sec) QUALIFY row_number() OVER w = 1 OR v IS DISTINCT FROM lag(v) OVER w""",
     "p6_found": f"""WITH refs AS (SELECT 'imported_relationship' ref_table, 'to_external_uri' ref_field, relationship_id row_id, 'g' dom, {_URI_KEY} k, imported_at seen FROM (SELECT *, {_STRIP.format("to_external_uri")} u FROM imported_relationship)
 UNION ALL SELECT 'unresolved_target', 'href', unresolved_id, 'g', {_URI_KEY}, noted_at FROM (SELECT *, {_STRIP.format("href")} u FROM unresolved_target)
 UNION ALL SELECT 'example_annotation_batch', 'city_object_uid', entry_id, 'u', {_STRIP.format("city_object_uid")}, received_at FROM example_annotation_batch
@@ -144,15 +147,28 @@ UNION ALL SELECT 'p', CAST(asset_part_id AS VARCHAR), registered_at, removed_at
 j AS (SELECT r.*, CASE WHEN h.k IS NULL THEN 'missing' WHEN h.live IS NULL THEN 'deleted' WHEN h.live > r.seen THEN 'late' END kind FROM refs r LEFT JOIN have h ON h.dom = r.dom AND h.k = r.k WHERE trim(r.k) <> '')
 SELECT DISTINCT ref_table, ref_field, row_id, k AS ref_key, kind AS orphan_kind, strftime(seen, '%Y-%m') AS period FROM j WHERE kind IS NOT NULL""",
 }
+ORACLE["p2_descendants"] = f"""{_TREE.rstrip().rstrip(",")}
+SELECT x.h AS hierarchy, x.s AS scope, x.a AS ancestor, x.n AS descendant, d.d - coalesce(e.d, 0) AS distance FROM anc x JOIN depth d ON d.h = x.h AND d.s = x.s AND d.n = x.n LEFT JOIN depth e ON e.h = x.h AND e.s = x.s AND e.n = x.a
+ANTI JOIN hit t ON t.h = x.h AND t.s = x.s AND t.n = x.n"""
 ORACLE["p6_report"] = f"SELECT ref_table, ref_field, orphan_kind, period, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT ref_key) AS BIGINT) AS n_keys FROM ({ORACLE['p6_found']}) GROUP BY ALL"
 # A list, a list of one for anything else that is there, nothing for NULL.
 _LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'NULL' THEN [] ELSE [{0}] END"
-ORACLE["p1_found"] = f"""WITH b AS (SELECT entry_id, coalesce(attributes.method, json_extract_string(attributes_json, '$.method'), '') method, unnest(memberships) m, generate_subscripts(memberships, 1) - 1 pos FROM example_annotation_batch),
-r AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END END doc FROM batch_raw),
+_DOCS = f"""r AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END END doc FROM batch_raw),
 a0 AS (SELECT raw_id, {_LIST.format("x")} l FROM (SELECT raw_id, json_extract(doc, '$.annotations') x FROM r WHERE doc IS NOT NULL) WHERE x IS NOT NULL),
 a AS (SELECT raw_id, pos ap, x FROM (SELECT raw_id, unnest(l) x, generate_subscripts(l, 1) - 1 pos FROM a0) WHERE json_type(x) = 'OBJECT'),
-m0 AS (SELECT raw_id, ap, coalesce(json_extract_string(x, '$.attributes.method'), CASE WHEN json_valid(json_extract_string(x, '$.attributes_json')) THEN json_extract_string(json_extract_string(x, '$.attributes_json'), '$.method') END, '') method, {_LIST.format("y")} l FROM (SELECT *, json_extract(x, '$.memberships') y FROM a) WHERE y IS NOT NULL),
-m AS (SELECT raw_id, ap, method, pos mp, x FROM (SELECT raw_id, ap, method, unnest(l) x, generate_subscripts(l, 1) - 1 pos FROM m0) WHERE json_type(x) = 'OBJECT'),
+m0 AS (SELECT raw_id, ap, x doc, coalesce(json_extract_string(x, '$.attributes.method'), CASE WHEN json_valid(json_extract_string(x, '$.attributes_json')) THEN json_extract_string(json_extract_string(x, '$.attributes_json'), '$.method') END, '') method, {_LIST.format("y")} l FROM (SELECT *, json_extract(x, '$.memberships') y FROM a)),
+m AS (SELECT raw_id, ap, method, pos mp, x FROM (SELECT raw_id, ap, method, unnest(l) x, generate_subscripts(l, 1) - 1 pos FROM m0 WHERE l IS NOT NULL) WHERE json_type(x) = 'OBJECT')"""
+_TEXT = "CASE WHEN json_type(json_extract(x, '$.{0}')) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(x, '$.{0}') END"
+_METHOD = "coalesce(attributes.method, json_extract_string(attributes_json, '$.method'), '')"
+ORACLE["p1_annotations"] = f"""WITH {_DOCS}
+SELECT 'example_annotation_batch' AS record_table, CAST(entry_id AS BIGINT) AS record_id, CAST(0 AS INTEGER) AS annotation_pos, annotation_uid, {_METHOD} AS method FROM example_annotation_batch
+UNION ALL SELECT 'batch_raw', raw_id, CAST(ap AS INTEGER), {_TEXT.format("annotation_uid")}, method FROM (SELECT raw_id, ap, method, doc x FROM m0)"""
+ORACLE["p1_memberships"] = f"""WITH {_DOCS}
+SELECT 'example_annotation_batch' AS record_table, CAST(entry_id AS BIGINT) AS record_id, CAST(0 AS INTEGER) AS annotation_pos, CAST(pos AS INTEGER) AS membership_pos, CAST(m.asset_part_id AS VARCHAR) AS asset_part_id, m.asset_uri AS asset_uri, coalesce(m.part_path, '') AS part_path
+FROM (SELECT entry_id, unnest(memberships) m, generate_subscripts(memberships, 1) - 1 pos FROM example_annotation_batch) WHERE m IS NOT NULL
+UNION ALL SELECT 'batch_raw', raw_id, CAST(ap AS INTEGER), CAST(mp AS INTEGER), {_TEXT.format("asset_part_id")}, {_TEXT.format("asset_uri")}, coalesce({_TEXT.format("part_path")}, '') FROM m"""
+ORACLE["p1_found"] = f"""WITH b AS (SELECT entry_id, {_METHOD} method, unnest(memberships) m, generate_subscripts(memberships, 1) - 1 pos FROM example_annotation_batch),
+{_DOCS},
 e AS (SELECT raw_id, ap, mp, method, coalesce(json_extract_string(x, '$.part_path'), '') pp, unnest({_LIST.format("y")}) i FROM (SELECT *, json_extract(x, '$.element_indices') y FROM m) WHERE y IS NOT NULL)
 SELECT DISTINCT 'example_annotation_batch' AS record_table, CAST(entry_id AS BIGINT) AS record_id, CAST(0 AS INTEGER) AS annotation_pos, CAST(pos AS INTEGER) AS membership_pos, CAST(i AS BIGINT) AS element_index, pp AS part_path, method
 FROM (SELECT entry_id, pos, method, coalesce(m.part_path, '') pp, unnest(m.element_indices) i FROM b WHERE m IS NOT NULL) WHERE i IS NOT NULL

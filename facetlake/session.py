@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,8 +32,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    # Only a session without the setting (a test) gets a folder of its own.
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="facetlake-ckpt-", dir=os.environ.get("TMPDIR")))
+    if shared is None:
+        # Only a session of one process (a test) gets a folder of its own; on a cluster it would be the driver's alone.
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="facetlake-ckpt-", dir=os.environ.get("TMPDIR"))
+    sc.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -46,11 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As ``cut_lineage``, as a compressed columnar table in the same folder, for tables that are read in parts."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """As ``cut_lineage``, as a compressed columnar table in the same folder, for tables that are read in parts.
+
+    The files are deleted when the application ends.
+    """
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from: Column, how: str = "inner", salts: int = 16) -> DataFrame:

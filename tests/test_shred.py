@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from facetlake.operators.shred import _parse, adjacency, annotation_entities, document_nodes
+from facetlake.operators.shred import _parse, adjacency, annotation_entities, document_nodes, struct_adjacency
 from facetlake.session import written
 
 
@@ -13,8 +13,8 @@ def shred(spark, docs):
 
 
 def test_nodes_and_strictness():
-    assert document_nodes('{"a": [1, null]}') == [(0, -1, None, None, "object", None), (1, 0, "a", None, "array", None), (2, 1, None, 1, "null", None), (3, 1, None, 0, "number", "1")]
-    for bad in (None, "", "[1]", "null", '{"a": 1', '{"a": 1} x', "not json", "[" * 100_000):
+    assert document_nodes('{"a": [1, null]}') == [("0", None, None, None, "object", None), ("0.0", "0", "a", None, "array", None), ("0.0.1", "0.0", None, 1, "null", None), ("0.0.0", "0.0", None, 0, "number", "1")]
+    for bad in (None, "", "[1]", "null", '{"a": 1', '{"a": 1} x', "not json", "[" * 100_000, '{"a": NaN}', '{"a": [-Infinity, ' + "9" * 5000 + "]}"):
         assert document_nodes(bad) == []
 
 
@@ -23,7 +23,7 @@ def test_any_depth_and_any_number_of_digits():
     nodes = document_nodes(deep)
     assert len(nodes) == 60_003 and [n[4] for n in nodes if n[2] == "annotations"] == ["array"]
     for digits in ("1" * 5000, "-" + "1" * 5000):
-        assert document_nodes('{"_note": [' + digits + '], "b": 7}')[1:] == [(1, 0, "b", None, "number", "7"), (2, 0, "_note", None, "array", None), (3, 2, None, 0, "number", digits)]
+        assert document_nodes('{"_note": [' + digits + '], "b": 7}')[1:] == [("0.1", "0", "b", None, "number", "7"), ("0.0", "0", "_note", None, "array", None), ("0.0.0", "0.0", None, 0, "number", digits)]
     for bad in (deep[:-1], deep + "x", deep.replace("1", "01")):
         assert document_nodes(bad) == []
 
@@ -64,3 +64,28 @@ def test_deep_notes_and_long_numbers_beside_the_data(spark, rows):
 
 def test_empty_table(spark):
     assert all(d.count() == 0 for d in shred(spark, []))
+
+
+def test_structs_have_the_nodes_of_their_json(spark, rows):
+    schema = "id long, label string, r struct<a: struct<b: string, c: int>, l: array<struct<d: boolean, e: array<bigint>>>, m: map<string, double>>"
+    data = [(1, "clash", (("x", None), [(True, [3, None, 5]), None, (None, [])], {"k": 1.5})), (2, "", ((None, 2), None, None)), (3, "", None)]
+    got = struct_adjacency(spark.createDataFrame(data, schema), "t", "id", F.col("r"))
+    assert rows(got.where("record_id = 1"), "node", "parent", "label", "ordinal", "kind", "scalar") == sorted([
+        ("0", None, None, None, "object", None), ("0.0", "0", "a", None, "object", None), ("0.0.0", "0.0", "b", None, "string", "x"),
+        ("0.1", "0", "l", None, "array", None), ("0.1.0", "0.1", None, 0, "object", None), ("0.1.0.0", "0.1.0", "d", None, "boolean", "true"), ("0.1.0.1", "0.1.0", "e", None, "array", None),
+        ("0.1.0.1.0", "0.1.0.1", None, 0, "number", "3"), ("0.1.0.1.2", "0.1.0.1", None, 2, "number", "5"), ("0.1.2", "0.1", None, 2, "object", None), ("0.1.2.1", "0.1.2", "e", None, "array", None),
+        ("0.2", "0", "m", None, "object", None), ("0.2.0", "0.2", "k", None, "number", "1.5"),
+    ], key=str)
+    assert rows(got.where("record_id > 1"), "record_id", "node", "scalar") == [(2, "0", None), (2, "0.0", None), (2, "0.0.1", "2")]
+
+
+def test_entities_of_structs(spark, rows):
+    schema = "id long, record_table string, annotations struct<annotation_uid: string, attributes: struct<method: string>, attributes_json: string, memberships: array<struct<part_path: string, element_indices: array<bigint>>>>"
+    data = [
+        (1, "own", ("u", ("m",), '{"method": "j"}', [None, ("p", [3, 3, None, 4]), (None, None)])), (2, "own", (None, (None,), '{"method": "j"}', [(None, [9])])),
+        (3, "own", (None, None, None, [])), (4, "own", None), (1, "own", ("u", ("m",), None, None)),
+    ]
+    a, m, e = annotation_entities(struct_adjacency(spark.createDataFrame(data[:4], schema), "t", "id", F.struct("annotations")))
+    assert rows(a, "record_id", "annotation_pos", "annotation_uid", "method") == [(1, 0, "u", "m"), (2, 0, None, "j"), (3, 0, None, "")]
+    assert rows(m, "record_id", "membership_pos", "part_path") == [(1, 1, "p"), (1, 2, ""), (2, 0, "")]
+    assert rows(e, "record_id", "membership_pos", "element_index", "part_path", "method") == [(1, 1, 3, "p", "m"), (1, 1, 4, "p", "m"), (2, 0, 9, "", "j")]
