@@ -9,28 +9,25 @@ from facetlake.llm import mix, setjoin, split, tokens
 from facetlake.sources.tables import table
 
 
-def claim_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, elements): the distinct elements a claim selects over all its entries."""
+def claim_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, space, indices): what a claim selects, a row per membership whose part is known."""
     batch = table(spark, folder, "example_annotation_batch").where("annotation_uid is not null")
     part = table(spark, folder, "asset_part").select(F.col("asset_part_id").alias("part"), "asset_id", F.col("part_path").alias("path"))
     named = part.join(table(spark, folder, "asset").select("asset_id", F.col("uri").alias("uri")), "asset_id").groupBy("uri", "path").agg(F.min("part").alias("by_uri"))
-    m = batch.select("annotation_uid", F.explode("memberships").alias("m")).where("m is not null")
-    m = m.select("annotation_uid", "m.asset_part_id", F.col("m.asset_uri").alias("uri"), F.col("m.part_path").alias("path"), "m.element_indices")
-    by_id = m.where("asset_part_id is not null").join(part.select(F.col("part").alias("asset_part_id")).distinct(), "asset_part_id", "left_semi").select("annotation_uid", F.col("asset_part_id").alias("part"), "element_indices")
-    by_uri = m.where("asset_part_id is null").join(named, ["uri", "path"]).select("annotation_uid", F.col("by_uri").alias("part"), "element_indices")
-    e = by_id.unionByName(by_uri).select(F.col("annotation_uid").alias("id"), "part", F.explode("element_indices").alias("index")).where("index is not null")
-    e = e.select("id", setjoin.pack_element(F.col("part"), F.col("index")).alias("e")).distinct()
-    return e.groupBy("id").agg(F.collect_list("e").alias("elements"))
+    m = batch.select(F.col("annotation_uid").alias("id"), F.explode("memberships").alias("m")).where("m is not null")
+    m = m.select("id", "m.asset_part_id", F.col("m.asset_uri").alias("uri"), F.col("m.part_path").alias("path"), F.col("m.element_indices").alias("indices"))
+    by_id = m.where("asset_part_id is not null").join(part.select(F.col("part").alias("asset_part_id")).distinct(), "asset_part_id", "left_semi").select("id", F.col("asset_part_id").alias("space"), "indices")
+    return by_id.unionByName(m.where("asset_part_id is null").join(named, ["uri", "path"]).select("id", F.col("by_uri").alias("space"), "indices"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = setjoin.similar_pairs(claim_sets(spark, folder), 0.75)
+    pairs = setjoin.similar_pairs(claim_members(spark, folder), 0.75)
     return pairs.select(F.col("id_a").alias("annotation_uid_a"), F.col("id_b").alias("annotation_uid_b"))
 
 
 def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each claim with the class of its equal sets and the number of other classes its class is similar to."""
-    classes, membership = setjoin.set_classes(claim_sets(spark, folder))
+    classes, membership = setjoin.set_classes(setjoin.united_sets(claim_members(spark, folder)))
     pairs = setjoin.similar_classes(classes, 0.75)
     links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     return membership.join(links, "sid", "left").select(F.col("id").alias("annotation_uid"), F.col("sid").alias("class_uid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
@@ -89,4 +86,8 @@ size AS (SELECT uid, count(*) n FROM el GROUP BY uid)"""
 ORACLE = {
     "p5_found": f"""WITH {_SETS}, shared AS (SELECT a.uid a, b.uid b, count(*) k FROM el a JOIN el b ON a.part = b.part AND a.i = b.i AND a.uid < b.uid GROUP BY ALL)
 SELECT a AS annotation_uid_a, b AS annotation_uid_b FROM shared JOIN size x ON x.uid = a JOIN size y ON y.uid = b WHERE k >= 0.75 * (x.n + y.n - k)""",
+    "p5_classes": f"""WITH {_SETS}, whole AS (SELECT uid, string_agg(part || ':' || i, ',' ORDER BY part, i) s, count(*) n FROM el GROUP BY uid), class AS (SELECT s, min(uid) c FROM whole GROUP BY s), own AS (SELECT uid, c, n FROM whole JOIN class USING (s)),
+rep AS (SELECT el.* FROM el JOIN own ON own.uid = el.uid AND own.c = el.uid), shared AS (SELECT a.uid a, b.uid b, count(*) k FROM rep a JOIN rep b ON a.part = b.part AND a.i = b.i AND a.uid <> b.uid GROUP BY ALL),
+link AS (SELECT a, count(*) m FROM shared JOIN size x ON x.uid = a JOIN size y ON y.uid = b WHERE k >= 0.75 * (x.n + y.n - k) GROUP BY a)
+SELECT uid AS annotation_uid, c AS class_uid, CAST(coalesce(m, 0) AS BIGINT) AS n_links FROM own LEFT JOIN link ON a = c""",
 }

@@ -4,9 +4,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from facetlake.llm.setjoin import expand_pairs, set_classes, similar_classes, similar_pairs
+from facetlake.llm.setjoin import expand_pairs, partition, set_classes, similar_classes, similar_pairs, united_sets
 
-SCHEMA = "id string, elements array<long>, sid string, home string, e long"
+SCHEMA = "id string, space long, indices array<long>, sid string, home string, cell long"
 
 
 def expected(sets, threshold):
@@ -14,9 +14,12 @@ def expected(sets, threshold):
     return sorted((min(a, b), max(a, b)) for k, (a, x) in enumerate(live) for b, y in live[k + 1 :] if len(x & y) / len(x | y) >= threshold)
 
 
+def frame(spark, sets):
+    return spark.createDataFrame([(i, 2**40, None if s is None else [*sorted(s, reverse=True), None], "c", "c", 1) for i, s in sets], SCHEMA)
+
+
 def pairs(spark, rows, sets, threshold=0.75):
-    df = spark.createDataFrame([(i, None if s is None else sorted(s, reverse=True), "c", "c", 1) for i, s in sets], SCHEMA)
-    return rows(similar_pairs(df, threshold), "id_a", "id_b")
+    return rows(similar_pairs(frame(spark, sets), threshold, 3), "id_a", "id_b")
 
 
 def test_random_clusters_match_brute_force(spark, rows):
@@ -60,9 +63,33 @@ def test_small_dense_universes(spark, rows, sets):
 
 def test_empty_table_and_class_form(spark, rows):
     assert pairs(spark, rows, []) == []
-    df = spark.createDataFrame([("a", [1, 2, 3, 4], "", "", 0), ("b", [4, 3, 2, 1], "", "", 0), ("c", [1, 2, 3], "", "", 0)], SCHEMA)
-    classes, membership = set_classes(df)
+    df = frame(spark, [("a", [1, 2, 3, 4]), ("b", [4, 3, 2, 1]), ("b", [1]), ("c", [1, 2, 3])])
+    classes, membership = set_classes(united_sets(df))
     assert rows(membership, "id", "sid") == [("a", "a"), ("b", "a"), ("c", "c")]
     links = similar_classes(classes, 0.75)
     assert rows(links, "a", "b") == [("a", "c")]
     assert rows(expand_pairs(links, membership), "id_a", "id_b") == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_elements_are_exact_whatever_their_numbers(spark, rows):
+    data = [("a", 2**62, [2**62, -5]), ("b", 2**62, [2**62, -5]), ("c", 2**62 + 1, [2**62, -5]), ("d", None, [1]), ("e", 2**62, [2**62 - 1, -5])]
+    df = spark.createDataFrame(data, "id string, space long, indices array<long>")
+    assert rows(similar_pairs(df, 0.3), "id_a", "id_b") == [("a", "b"), ("a", "e"), ("b", "e")]
+
+
+def test_large_cells_are_cut_again_and_then_joined_in_blocks(spark, rows):
+    """Small bounds send sets through several levels of pivots, rests, and blocks; hidden pairs lie within and across all of them."""
+    rng = random.Random(2)
+    sets = []
+    for c in range(70):
+        at = rng.randrange(40) * 50
+        base = set(rng.sample(range(at, at + 60), rng.randrange(4, 25)))
+        sets += [(f"r{c:02d}_{k}", base ^ set(rng.sample(range(at, at + 60), rng.randrange(0, 4)))) for k in range(5)]
+    sets += [(f"x{i}", {0, 1, 2, 3, 4, 5, 6, 7} - {i}) for i in range(8)]
+    classes, membership = set_classes(united_sets(frame(spark, sets)))
+    for most, levels in ((60, 4), (40, 1)):
+        cells, large = partition(classes, 0.6, 4, most, levels)
+        assert cells.where("home").count() == classes.count() and cells.select("cell").distinct().count() > 10
+        got = expand_pairs(similar_classes(classes, 0.6, 4, most, levels), membership)
+        assert bool(large) or levels > 1
+        assert rows(got, "id_a", "id_b") == expected(sets, 0.6)
