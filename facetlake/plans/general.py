@@ -50,15 +50,19 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(_links(spark, folder))
 
 
+def _timed(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "example_annotation_batch").select("entry_id", "assessed_at", "site_tz", F.col("attributes.source").alias("source"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    batch = table(spark, folder, "example_annotation_batch")
-    return instants.normalise_instants(batch, "entry_id", "assessed_at", "site_tz", "site_tz", instants.STATED).select(F.col("row_id").alias("entry_id"), "utc_us").distinct()
+    """What the posterior takes each text for, stated conventions as priors; a text that only another convention can read names no instant."""
+    out = instants.normalise_instants(_timed(spark, folder), "entry_id", "assessed_at", "site_tz", "source", instants.STATED, instants.STATED_WAYS)
+    return out.where("stated").select(F.col("row_id").alias("entry_id"), "utc_us").distinct()
 
 
 def p3_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Without stated conventions: what each entry's text is taken for, how surely, and whether that is left open."""
-    batch = table(spark, folder, "example_annotation_batch")
-    return instants.normalise_instants(batch, "entry_id", "assessed_at", "site_tz", "site_tz").withColumnRenamed("row_id", "entry_id")
+    return instants.normalise_instants(_timed(spark, folder), "entry_id", "assessed_at", "site_tz", "source").drop("stated").withColumnRenamed("row_id", "entry_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
