@@ -39,14 +39,16 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return docs.mapInArrow(tokens.ids_mapper(tokens.vocabulary(spark)), "doc_id long, ids array<int>")
 
 
-def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("text", "doc_id", "source", "lang", "kind")
+def token_counts(spark: SparkSession, folder: str, sources: list[str]) -> DataFrame:
+    """Sizes in tokens of the documents of the sources; others are not encoded."""
+    docs = table(spark, folder, "documents").where(F.col("source").isin(sources)).select("text", "doc_id", "source", "lang", "kind")
     return docs.mapInArrow(tokens.counts_mapper(tokens.vocabulary(spark)), "n_tokens long, doc_id long, source string, lang string, kind string")
 
 
 def _mix(spark: SparkSession, folder: str) -> mix.Mix:
-    topics = [r["kind"] for r in table(spark, folder, "split_limit").where("kind is not null").select("kind").distinct().limit(mix.MOST_TOPICS + 1).collect()]
-    return mix.mix_sources(token_counts(spark, folder), table(spark, folder, "mix_target"), topics)
+    targets = table(spark, folder, "mix_target")
+    names = [r["source"] for r in targets.where("source is not null").select("source").distinct().limit(mix.MOST_SOURCES + 1).collect()]
+    return mix.mix_sources(token_counts(spark, folder, names), targets)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,10 +57,15 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and actual share of each source."""
+    """Target and actual share of each source, and what total each would allow."""
     return _mix(spark, folder).shares
 
 
+def p8_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """How far sources, languages and topics are from what they aim at."""
+    return _mix(spark, folder).marginals
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every document over the limit of its kind."""
     # The limit table has a row per kind; a longer one is an error, not a cut.
@@ -74,7 +81,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p5_found, p5_classes, p7_ids, p8_mix, p8_shares, p9_pieces]
+    names = [p5_found, p5_classes, p7_ids, p8_mix, p8_shares, p8_marginals, p9_pieces]
     return {f.__name__: f for f in names}
 
 

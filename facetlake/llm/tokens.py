@@ -1,25 +1,26 @@
 """Byte-level BPE over whole corpora by content-defined chunk reuse.
 
-A rolling hash over the eight bytes before a position proposes cuts, so equal
-passages are cut alike in whatever document they stand. A chunk join stands
-where the encodings of both sides agree with that of the whole text; every
-other join is repaired by encoding its two sides again as one run, until the
-ends of the run agree. For this tokenizer's splitting pattern agreement can be
-read off the bytes (see ``agreed``), so runs are formed before encoding. Each
-distinct chunk of a task is encoded once, its ids are copied everywhere else.
-
-All work on a batch is done on its Arrow buffers: no text becomes a Python
-string unless it is a chunk not seen before.
+A rolling hash over the eight bytes before a position makes cuts, so equal
+passages are cut alike in whatever document they stand, be it inside a word. A
+chunk is encoded by itself, once in a task; its ids are copied wherever it
+stands again. At every join the ids near the cut are not to be trusted: the
+text from the last agreed place before it (one whose ids are the same whatever
+surrounds them, see ``agreed``) to the first agreed place after it is encoded
+again as one run, over further chunks where one has no such place, and takes
+the place of what the two sides said there.
+
+Chunks are found by their bytes, so no two are mistaken for each other, and no
+text becomes a Python string unless it is a chunk or a run not seen before.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
@@ -29,10 +30,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: One position in 2^BITS at which a join would stand is a cut.
-BITS = 1
-#: A task forgets its chunks beyond this many; a forgotten chunk is encoded again.
-MOST_CHUNKS = 600_000
+#: A place is a cut if BITS bits of its hash are zero: chunks have some 2^BITS bytes.
+BITS = 10
+#: Bytes of chunks and runs that a task remembers; beyond that, those not met since as many bytes ago are forgotten and encoded again.
+MOST_BYTES = 48 << 20
 #: Bytes of text worked on at once.
 STEP = 1 << 20
 
@@ -73,133 +74,150 @@ def agreed(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base % 2**64, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+#: The agreed places of ``agreed``, as a pattern.
+_PLACE = re.compile(
+    rb"[\t-\r ](?=[\x21-\x7e\xc3\xe4-\xe9])|(?<=[\xe5-\xe9]..)\xe3\x80[\x81\x82]|(?<=\xe3\x81.)\xe3\x80[\x81\x82]|(?<=\xe3\x80[\x81\x82])(?:[\xe5-\xe9]..|\xe3\x81.)", re.DOTALL
+)
+
+
+def _last_place(chunk: bytes) -> int:
+    """The last agreed place, looked for from the end; there is one."""
+    back = 32
+    while True:
+        # The look-behind of a place may reach back three bytes.
+        at = max(0, len(chunk) - back)
+        places = [m.start() for m in _PLACE.finditer(chunk, at)]
+        if places:
+            return places[-1]
+        back *= 4
+
+
+class _Memory:
+    """Values by bytes, about the ``most`` bytes of keys met last: two generations, the older dropped when the younger is half of it."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old, self.held = most, {}, {}, 0
+
+    def get(self, key: bytes):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: bytes, value) -> None:
+        self.young[key] = value
+        self.held += len(key)
+        if self.held > self.most // 2:
+            self.old, self.young, self.held = self.young, {}, 0
 
 
 class ChunkEncoder:
-    """Encodes batches of texts with one tokenizer and remembers the chunks it has seen."""
+    """Encodes batches of texts with one tokenizer and remembers the chunks it has seen.
+
+    ``stats`` counts bytes and chunks met, and bytes of chunks and of runs that had to be encoded.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], bits: int = BITS, most_chunks: int = MOST_CHUNKS):
+    def __init__(self, ranks: dict[bytes, int], bits: int = BITS, most_bytes: int = MOST_BYTES):
         import tiktoken
 
         self.tokenizer = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.width[rank] = len(token)
-        self.bits, self.most_chunks = bits, most_chunks
-        rng = np.random.default_rng(1)
-        self._table = [rng.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2)]
-        self._base = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-        self._pow: list[np.ndarray] = []
-        self._forget()
-
-    def _forget(self) -> None:
-        self._at: dict[int, int] = {}
-        self._check = np.empty(0, np.uint64)
-        self._ids = np.empty(1 << 16, np.int32)
-        self._used = 0
-        self._start = np.empty(0, np.int64)
-        self._len = np.empty(0, np.int64)
-
-    def _hashes(self, b: np.ndarray, beg: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Two independent 64-bit hashes of each chunk, from prefix sums."""
-        n = len(b)
-        if not self._pow or len(self._pow[0]) < n + 1:
-            self._pow = [_powers(x, n + 1) for k in self._base for x in (k, pow(k, -1, 2**64))]
-        out = []
-        for i in range(2):
-            prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(self._table[i][b] * self._pow[2 * i][:n], out=prefix[1:])
-            out.append((prefix[end] - prefix[beg]) * self._pow[2 * i + 1][beg] + (end - beg).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return out
+        self.bits = bits
+        self._chunks, self._runs = _Memory(most_bytes // 2), _Memory(most_bytes // 2)
+        self.stats = {"bytes": 0, "chunks": 0, "encoded": 0, "runs": 0, "run_bytes": 0}
 
     def cuts(self, b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Chunk borders: all starts of texts, and the agreed joins that the rolling hash picks."""
-        pos = np.flatnonzero(agreed(b, offsets[1:]))
-        pos = pos[pos >= 8]
-        if self.bits and len(pos):
-            window = np.ndarray((len(b) - 7,), np.uint64, np.ascontiguousarray(b), 0, (1,))
-            rolled = window[pos - 8] * np.uint64(self._base[0])
-            pos = pos[(rolled >> np.uint64(64 - self.bits)) == 0]
-        mark = np.zeros(len(b) + 1, bool)
-        mark[pos] = True
-        mark[offsets] = True
-        return np.flatnonzero(mark)
-
-    def _learn(self, b: np.ndarray, beg: np.ndarray, end: np.ndarray) -> None:
-        """Encode chunks not seen before. Those that begin at an agreed join of any neighbour (a blank) share one call."""
-        raw = b.tobytes()
-        parts = [raw[i:j] for i, j in zip(beg.tolist(), end.tolist())]
-        size = end - beg
-        # A chunk that is a blank and something visible begins a match of its own after whatever text.
-        together = (b[beg] == 0x20) & (size > 1)
-        together &= _VISIBLE[b[np.minimum(beg + 1, len(b) - 1)]]
-        starts, lens, new = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64), []
-        used = self._used
-        shared = np.flatnonzero(together)
-        if len(shared):
-            ids = np.array(self.tokenizer.encode_ordinary(b"".join([parts[i] for i in shared]).decode()), np.int32)
-            stop = np.cumsum(size[shared])
-            to = np.searchsorted(np.cumsum(self.width[ids]), stop) + 1
-            starts[shared] = used + np.concatenate([[0], to[:-1]])
-            lens[shared] = np.diff(to, prepend=0)
-            new.append(ids)
-            used += len(ids)
-        for i in np.flatnonzero(~together).tolist():
-            ids = np.array(self.tokenizer.encode_ordinary(parts[i].decode()), np.int32)
-            starts[i], lens[i] = used, len(ids)
-            new.append(ids)
-            used += len(ids)
-        if used > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.empty(max(used, 2 * len(self._ids)) - len(self._ids), np.int32)])
-        if new:
-            self._ids[self._used : used] = np.concatenate(new)
-        self._used = used
-        self._start, self._len = np.concatenate([self._start, starts]), np.concatenate([self._len, lens])
+        """Chunk borders: all starts of texts, and the places between characters that the rolling hash picks."""
+        marks = [offsets]
+        if len(b) > 8:
+            window = np.ndarray((len(b) - 8,), np.uint64, np.ascontiguousarray(b), 0, (1,))
+            pos = np.flatnonzero((window * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits) == 0) + 8 if self.bits else np.arange(8, len(b))
+            pos = pos[(b[pos] & 0xC0) != 0x80]
+            # What lies before a text is not its own.
+            marks.append(pos[pos - offsets[np.searchsorted(offsets, pos, "right") - 1] >= 8])
+        return np.unique(np.concatenate(marks))
+
+    def _ids_of(self, raw: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_ordinary(raw.decode()), np.int32)
+
+    def _chunk(self, raw: bytes) -> tuple:
+        """(first agreed place, last one, ids of the chunk, number of ids before each place); no ids where there is no place."""
+        known = self._chunks.get(raw)
+        if known is None:
+            first = _PLACE.search(raw)
+            if first is None:
+                known = (-1, -1, None, 0, 0)
+            else:
+                f, l, ids = first.start(), _last_place(raw), self._ids_of(raw)
+                ends = np.cumsum(self.width[ids])
+                known = (f, l, ids, int(np.searchsorted(ends, f, "right")), int(np.searchsorted(ends, l, "right")))
+                self.stats["encoded"] += len(raw)
+            self._chunks.put(raw, known)
+        return known
+
+    def _run(self, raw: bytes) -> np.ndarray:
+        """Ids of a run between agreed places."""
+        if not raw:
+            return _NO_IDS
+        ids = self._runs.get(raw)
+        if ids is None:
+            ids = self._ids_of(raw)
+            self.stats["run_bytes"] += len(raw)
+            self._runs.put(raw, ids)
+        self.stats["runs"] += 1
+        return ids
 
     def encode(self, b: np.ndarray, offsets: np.ndarray, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text) of texts laid end to end in ``b``."""
         texts = len(offsets) - 1
+        counts = np.zeros(texts, np.int64)
         if not len(b):
-            return np.empty(0, np.int32), np.zeros(texts, np.int64)
-        if len(self._at) > self.most_chunks:
-            self._forget()
-        border = self.cuts(b, offsets)
-        beg, end = border[:-1], border[1:]
-        key, check = self._hashes(b, beg, end)
-        code, seen = pd.factorize(key)
-        first = np.empty(len(seen), np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        names = seen.tolist()
-        at = np.array([self._at.get(x, -1) for x in names], np.int64)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            at[miss] = np.arange(len(self._start), len(self._start) + len(miss))
-            self._learn(b, beg[first[miss]], end[first[miss]])
-            self._check = np.concatenate([self._check, check[first[miss]]])
-            self._at.update(zip([names[i] for i in miss.tolist()], at[miss].tolist()))
-        chunk = at[code]
-        if not np.array_equal(self._check[chunk], check):  # two chunks of one hash: all over, without reuse
-            return self._plain(b, offsets)
-        n = self._len[chunk]
-        total = np.concatenate([[0], np.cumsum(n)])
-        counts = np.diff(total[np.searchsorted(beg, offsets[:-1]).clip(max=len(beg))], append=total[-1])
-        if not want_ids:
             return np.empty(0, np.int32), counts
-        return self._ids[np.repeat(self._start[chunk] - total[:-1], n) + np.arange(total[-1])], counts
-
-    def _plain(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = b.tobytes()
-        ids = [self.tokenizer.encode_ordinary(raw[i:j].decode()) for i, j in zip(offsets[:-1], offsets[1:])]
-        return np.array([x for y in ids for x in y], np.int32), np.array([len(x) for x in ids], np.int64)
+        raw, border = b.tobytes(), self.cuts(b, offsets)
+        of_text = np.searchsorted(border, offsets).tolist()
+        border = border.tolist()
+        self.stats["bytes"] += len(b)
+        self.stats["chunks"] += len(border) - 1
+        out: list[np.ndarray] = []
+        for i in range(texts):
+            lo, hi = of_text[i], of_text[i + 1]
+            if lo == hi:
+                continue
+            begin, end, before = border[lo], border[hi], len(out)
+            if hi == lo + 1:
+                # Both ends are the text's own, so all ids are its own too.
+                f, _, ids, _, _ = self._chunk(raw[begin:end])
+                out.append(ids if f >= 0 else self._run(raw[begin:end]))
+            else:
+                at = begin
+                for k in range(lo, hi):
+                    f, l, ids, tf, tl = self._chunk(raw[border[k] : border[k + 1]])
+                    if f < 0:  # no agreed place: the run goes on
+                        continue
+                    if k == lo:
+                        tf = 0
+                    else:
+                        out.append(self._run(raw[at : border[k] + f]))
+                    if k == hi - 1:
+                        tl, l = len(ids), end - border[k]
+                    out.append(ids[tf:tl])
+                    at = border[k] + l
+                if at < end:
+                    out.append(self._run(raw[at:end]))
+            counts[i] = sum(map(len, out[before:]))
+            if not want_ids:
+                out.clear()
+        return np.concatenate(out) if out else np.empty(0, np.int32), counts
 
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode_ordinary(text))
 
 
+_NO_IDS = np.empty(0, np.int32)
+
+
 def steps(texts: pa.Array, most: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about ``most`` bytes; NULL is like the empty text."""
     if not pa.types.is_large_string(texts.type):

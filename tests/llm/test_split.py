@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from facetlake.llm.split import PIECES, RangeMax, cut_text, pieces_mapper
+from facetlake.llm.split import PIECES, RangeMax, cut_text, pieces_mapper, strengths
 from facetlake.llm.tokens import TOKENIZERS, VOCABULARY, _encoder, vocabulary
 
 
@@ -45,6 +45,29 @@ def test_pieces_fit_overlap_and_rebuild(enc, text, most, overlap):
         check(enc, text, most, overlap)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(WORDS, min_size=60, max_size=200).map("".join), st.integers(12, 40), st.integers(1, 9))
+def test_every_cut_is_the_strongest_of_its_window(enc, text, most, overlap):
+    """Against all cuts of the window: none that fits is stronger, none as strong with as clean an overlap lies to the right."""
+    ids = np.array(enc.tokenizer.encode_ordinary(text), np.int32)
+    if len(ids) <= most:
+        return
+    start = np.concatenate([[0], np.cumsum(enc.width[ids])])
+    raw = text.encode()
+    kind, join = strengths(np.frombuffer(raw, np.uint8), start[:-1])
+    pieces = check(enc, text, most, overlap)
+    for a, b, _, shared, boundary, _ in pieces:
+        if boundary == "end" or shared < overlap and a:
+            continue
+        lo, hi = max(a + max(shared, overlap) + 1, a + most // 2 + 1), min(a + most, len(ids) - 1)
+        fits = [e for e in range(lo, hi + 1) if kind[e] and enc.count(raw[start[a] : start[e]].decode()) <= most]
+        clean = lambda e: 2 if join[e] and join[e - overlap] else 1 if kind[e - overlap] else 0
+        if b >= lo:
+            assert b == max(fits, key=lambda e: (kind[e], clean(e), e))
+        else:
+            assert all(kind[e] < kind[b] for e in fits)
+
+
 def test_natural_boundaries_win(enc):
     text = "One short sentence here. Another one follows it, as said.\n\nA new paragraph starts and goes on for a while, with words. And more of it then."
     pieces = check(enc, text, 16, 0)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from facetlake.llm.tokens import TOKENIZERS, VOCABULARY, ChunkEncoder, _encoder, counts_mapper, ids_mapper, steps, vocabulary
+from facetlake.llm.tokens import _PLACE, TOKENIZERS, VOCABULARY, ChunkEncoder, _encoder, _last_place, agreed, counts_mapper, ids_mapper, steps, vocabulary
 
 PIECES = ["a", "b", " ", "  ", "\n", "\n\n", "'s", "'", " ", "　", "。", "、", "日", "本", "の", "ab 12", "12", ".", ",", "é", "\t", "\r\n", "!", "カ", "・", "…", " ", "\x1c", "\x85", "字。", "ー", "x" * 9, " abcdefgh", "<|endoftext|>", "﻿", "👩‍🚀"]
 
@@ -19,8 +19,8 @@ def enc():
 
 @pytest.fixture(scope="module")
 def every(enc):
-    """An encoder that cuts at every agreed join."""
-    return ChunkEncoder({b: enc.tokenizer.encode_single_token(b) for b in enc.tokenizer.token_byte_values()}, bits=0)
+    """An encoder that cuts before every character and forgets soon."""
+    return ChunkEncoder({b: enc.tokenizer.encode_single_token(b) for b in enc.tokenizer.token_byte_values()}, bits=0, most_bytes=400)
 
 
 def ids_of(enc, texts, step=1 << 22):
@@ -47,16 +47,27 @@ def test_long_texts_repeats_and_forgetting(enc):
     words = [" " + "".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(300)]
     texts = ["".join(rng.choices(words, k=4000)), "x" * 60_000, None, "", "日" * 5000, "".join(rng.choices(words, k=50))] * 2
     assert ids_of(enc, texts, 10_000) == plain(enc, texts)
-    enc._forget()
     assert ids_of(enc, texts) == plain(enc, texts)
 
 
-def test_a_hash_clash_falls_back(enc):
-    enc._forget()
-    ids_of(enc, ["some text here and there"])
-    enc._check[:] ^= np.uint64(1)
-    assert ids_of(enc, ["some text here and there"]) == plain(enc, ["some text here and there"])
-    enc._forget()
+def test_chunks_are_reused_and_joins_repaired(enc):
+    rng = random.Random(4)
+    words = [" " + "".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(300)]
+    passage = "".join(rng.choices(words, k=3000))
+    fresh = ChunkEncoder({b: enc.tokenizer.encode_single_token(b) for b in enc.tokenizer.token_byte_values()}, bits=6)
+    texts = [passage, "another beginning" + passage, passage[:9000] + "another end", passage]
+    assert ids_of(fresh, texts) == plain(enc, texts)
+    assert fresh.stats["encoded"] < 1.2 * len(passage) and fresh.stats["runs"] > 100
+
+
+@settings(max_examples=80, deadline=None)
+@given(text=st.lists(st.sampled_from(PIECES), max_size=30).map("".join))
+def test_the_pattern_of_places_is_that_of_agreed(text):
+    raw = text.encode()
+    places = np.flatnonzero(agreed(np.frombuffer(raw, np.uint8), np.array([len(raw)])))
+    assert [m.start() for m in _PLACE.finditer(raw)] == places.tolist()
+    if len(places):
+        assert _last_place(raw) == places[-1]
 
 
 def test_queries_on_null_empty_and_repeated_rows(spark, enc):
