@@ -58,6 +58,11 @@ def peel(links: DataFrame, rounds: int = PEELS) -> DataFrame:
     return written(state.drop("pending"))
 
 
+def _above(rows: DataFrame, at: str, known: DataFrame) -> DataFrame:
+    """``rows`` with what ``known`` (__at, ...) says of the node in column ``at``; rows whose walk is over (NULL) ask for nodes that do not exist, each for another."""
+    return rows.withColumn("__at", F.coalesce(at, -1 - F.col("id"))).join(known, "__at", "left").drop("__at")
+
+
 def _strides(core: DataFrame) -> tuple[DataFrame, int, int]:
     """((id, anc, below) of the core, rounds, nodes left on or below cycles): strides until none ends a walk.
 
@@ -66,15 +71,11 @@ def _strides(core: DataFrame) -> tuple[DataFrame, int, int]:
     state = core.select("id", F.col("parent").alias("anc"), (F.col("size") + 1).alias("below"))
     left, rounds = state.where("anc is not null").count(), 0
     while left:
-        hop = state.select("id", "anc")
-        far = hop.where("anc is not null")
         # The ancestors one, two and three strides up; the pointer moves to the fourth.
-        two = far.withColumnRenamed("anc", "a1").join(hop.withColumnsRenamed({"id": "a1", "anc": "a2"}), "a1")
-        three = two.where("a2 is not null").join(hop.withColumnsRenamed({"id": "a2", "anc": "a3"}), "a2")
-        four = three.where("a3 is not null").join(hop.withColumnsRenamed({"id": "a3", "anc": "a4"}), "a3")
+        walk = state.where("anc is not null").select("id", F.col("anc").alias("a1"))
+        for k in (1, 2, 3):
+            walk = _above(walk, f"a{k}", state.select(F.col("id").alias("__at"), F.col("anc").alias(f"a{k + 1}")))
         none = F.lit(None).cast("long")
-        walk = two.where("a2 is null").select("id", "a1", none.alias("a2"), none.alias("a3"), none.alias("a4"))
-        walk = walk.unionByName(three.where("a3 is null").select("id", "a1", "a2", "a3", none.alias("a4"))).unionByName(four.select("id", "a1", "a2", "a3", "a4"))
         told = state.join(walk, "id", "left").select(
             F.explode(F.array(
                 F.struct("id", F.col("a4").alias("anc"), "below"), *[F.struct(F.col(a).alias("id"), none.alias("anc"), "below") for a in ("a1", "a2", "a3")]
@@ -92,18 +93,20 @@ def _on_cycles(core: DataFrame, stuck: DataFrame) -> DataFrame:
     """Of the nodes ``stuck`` (id) on or below cycles, those on one.
 
     The nodes that something points to over 2^k links shrink with k to those
-    on cycles, and on these every stride is one to one: once a doubling drops
-    none, they are left.
+    on cycles, and on these every stride is one to one: once longer strides
+    drop none, they are left.
     """
-    hop = written(core.join(stuck, "id", "left_semi").select("id", F.col("parent").alias("anc")))
-    hit, n = hop.select(F.col("anc").alias("id")).distinct(), -1
+    hop, before = written(core.join(stuck, "id", "left_semi").select("id", F.col("parent").alias("anc"))), -1
     while True:
-        hit = written(hit)
-        before, n = n, hit.count()
+        hit = hop.select(F.col("anc").alias("id")).distinct()
+        n = hit.count()
         if n == before:
             return hit
-        hop = written(hop.join(hop.select(F.col("id").alias("anc"), F.col("anc").alias("next")), "anc").select("id", F.col("next").alias("anc")))
-        hit = hop.select(F.col("anc").alias("id")).distinct()
+        before = n
+        for k in range(2):  # four strides of this length
+            up = hop.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
+            hop = hop.join(up, "anc").select("id", F.col("next").alias("anc"))
+        hop = written(hop)
 
 
 def _trails(tree: DataFrame, rounds: int) -> DataFrame:
@@ -111,16 +114,11 @@ def _trails(tree: DataFrame, rounds: int) -> DataFrame:
     state = written(tree.select("id", F.col("parent").alias("anc"), F.array("node").alias("trail")))
     for _ in range(rounds):
         # Three looks at one table, so the stride quadruples in one job; walks that ended are not sent again.
-        up = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("trail").alias("head"))
-        done, state_out = state.where("anc is null"), []
+        up = state.select(F.col("id").alias("__at"), F.col("anc").alias("next"), F.col("trail").alias("head"))
         rest = state.where("anc is not null")
         for _ in range(3):
-            step = rest.join(up, "anc").select("id", F.col("next").alias("anc"), F.concat("head", "trail").alias("trail"))
-            state_out.append(step.where("anc is null"))
-            rest = step.where("anc is not null")
-        for part in (*state_out, rest):
-            done = done.unionByName(part)
-        state = written(done)
+            rest = _above(rest, "anc", up).select("id", F.col("next").alias("anc"), F.when(F.col("head").isNull(), F.col("trail")).otherwise(F.concat("head", "trail")).alias("trail"))
+        state = written(state.where("anc is null").unionByName(rest))
     return state.select("id", "trail")
 
 

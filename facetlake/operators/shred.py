@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetlake.session import written
+
 NODES = "record_table string, record_id long, node string, parent string, label string, ordinal int, kind string, scalar string"
 _ARROW = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("node", pa.string()), ("parent", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
 _ROWS = 50_000
@@ -259,7 +261,8 @@ def annotation_entities(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     ``attributes``, else of ``attributes_json``, else ''; ``part_path`` is '' if absent.
     An index given as text is that number; what is no whole number of 64 bits is no index.
     """
-    objects = object_rows(nodes, _MEMBERS, "method")
+    # Few columns of few nodes, read three times below.
+    objects = written(object_rows(nodes, _MEMBERS, "method"))
     text = lambda name: F.col(f"{name}.scalar")
     method = lambda of: F.get(F.filter("method", lambda m: (m["parent"] == F.col(f"{of}.node")) & m["scalar"].isNotNull()), F.lit(0))["scalar"]
     top = objects.where("node = '0'").select(*_REC, F.col("annotations.node").alias("list_node")).where("list_node is not null")
@@ -275,6 +278,7 @@ def annotation_entities(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     whole = F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("long")).when(number.rlike(r"^[+-]?\d+\.0*$"), F.substring_index(number, ".", 1).try_cast("long"))
     items = nodes.where(F.col("kind").isin("number", "string") & (F.col("ordinal").isNotNull() | (F.col("label") == "element_indices")))
     items = items.select(*_REC, F.coalesce(F.when(F.col("ordinal").isNotNull(), F.col("parent")), F.col("node")).alias("list_node"), whole.alias("element_index")).where("element_index is not null")
-    # Items arrive partitioned by their list, so the repeats of a list meet without another shuffle.
-    elements = items.join(mem.select(*_REC, "annotation_pos", "membership_pos", "part_path", "method", "list_node").where("list_node is not null"), [*_REC, "list_node"]).dropDuplicates([*_REC, "list_node", "element_index"])
+    # Repeats of a list meet where its items meet their list, so they need no shuffle of their own.
+    items = items.repartition(*_REC, "list_node").distinct()
+    elements = items.join(mem.select(*_REC, "annotation_pos", "membership_pos", "part_path", "method", "list_node").where("list_node is not null"), [*_REC, "list_node"])
     return ann.drop("list_node"), mem.drop("list_node"), elements.select(*_REC, "annotation_pos", "membership_pos", "element_index", "part_path", "method")
