@@ -45,7 +45,7 @@ def register_files(store: Store, files: list[str], kind: str) -> DataFrame:
     """Assets of files by uri, their hash filled in; returns (uri, asset_id)."""
     rows = [(f, kind, geometry.MEDIA_TYPES.get(geometry.suffix_of(f)), validate.file_hash(f, ".")[1]) for f in files]
     wanted = store.spark.createDataFrame(rows, "uri string, asset_kind string, media_type string, content_hash string")
-    assets = cut_lineage(mutate.merge_rows(store.table("asset"), wanted, ["uri"], "asset_id"))
+    assets = cut_lineage(mutate.register_assets(store.table("asset"), wanted))
     store.stage("asset", assets)
     return assets.join(wanted.select("uri"), "uri", "left_semi").select("uri", "asset_id")
 
@@ -107,7 +107,7 @@ def build(spark: SparkSession, config: dict, base_dir: str = ".", update: bool =
                 register_parts(store, geometry.read_parts(spark, files), kind)
         for p in config.get("batches", []):
             with open(at(p), encoding="utf-8") as f:
-                batch.apply_batch(store, json.load(f))
+                batch.apply_batch(store, json.load(f), os.path.dirname(at(p)), replace_existing=update)
         issues = validate.run(store.tables(), config.get("validate_level", "basic"), base_dir=base_dir).cache()
         errors = issues.where("severity = 'error'").limit(SAMPLES).collect()
         if errors:
@@ -119,6 +119,6 @@ def build(spark: SparkSession, config: dict, base_dir: str = ".", update: bool =
 
 def set_srs(store: Store, srs_id: int) -> None:
     """Another reference system's number for the store; coordinates are not changed."""
-    store.manifest = {**store.manifest, "srs_id": srs_id}
     with store.transaction():
+        store.restamp(srs_id=srs_id)
         store.log_edit("set_srs", "*", details={"srs_id": srs_id})

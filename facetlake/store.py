@@ -27,6 +27,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, manifest: dict):
         self.spark, self.path, self.manifest = spark, path.rstrip("/"), manifest
         self._staged: dict[str, DataFrame] = {}
+        self._stamped: dict = {}
         self._depth = 0
 
     # --- files
@@ -117,6 +118,12 @@ class Store:
         schema = T._parse_datatype_string(TABLES[name])
         self._staged[name] = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
+    def restamp(self, **facts) -> None:
+        """Manifest facts (srs_id) that change with the commit of the open transaction, and not before."""
+        if not self._depth:
+            raise StoreError("no transaction is open")
+        self._stamped |= facts
+
     @contextmanager
     def transaction(self):
         """All or nothing; an inner transaction belongs to the outer one."""
@@ -124,7 +131,7 @@ class Store:
         try:
             yield self
         except BaseException:
-            self._staged = {}
+            self._staged, self._stamped = {}, {}
             raise
         else:
             if self._depth == 1 and self._staged:
@@ -140,9 +147,9 @@ class Store:
             order = CLUSTERED.get(name)
             rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
             rows.write.parquet(f"{self.path}/{places[name]}")
-        manifest = {**self.manifest, "version": version, "tables": places}
+        manifest = {**self.manifest, **self._stamped, "version": version, "tables": places}
         self._write_manifest(manifest)
-        self.manifest, self._staged = manifest, {}
+        self.manifest, self._staged, self._stamped = manifest, {}, {}
 
     def log_edit(self, operation: str, target_table: str, target_id: int | None = None, details: dict | None = None) -> None:
         row = self.spark.createDataFrame([(None, operation, target_table, target_id, json.dumps(details) if details is not None else None)], "edit_id long, operation string, target_table string, target_id long, details_json string")

@@ -24,7 +24,7 @@ def test_build_and_update(spark, rows, tmp_path):
     assert store.table("annotation").first()["label"] is None and store.table("asset").where("asset_kind = 'pointcloud'").first()["srs_id"] == 25832
     again = project.build(spark, config, str(tmp_path), update=True)["counts"]
     assert {k: v for k, v in again.items() if k != "edit_log"} == {k: v for k, v in counts.items() if k != "edit_log"}
-    (tmp_path / "b.json").write_text(json.dumps({"annotations": [{"annotation_uid": "a", "city_object_uid": "r", "confidence": 7.0}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"annotations": [{"annotation_uid": "a", "city_object_uid": "r", "confidence": 7.0, "memberships": [{"asset_uri": str(tmp_path / "p.las"), "element_indices": [1]}]}]}))
     with pytest.raises(StoreError, match="not sound"):
         project.build(spark, config, str(tmp_path), update=True)
     assert Store.open(spark, str(tmp_path / "out")).manifest["version"] == store.manifest["version"] + 1

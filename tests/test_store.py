@@ -27,20 +27,25 @@ BATCH = {
     "annotations": [
         {"city_object_uid": "g1", "concept": "Roof", "assessed_at": "2026-01-01", "status": "draft", "attributes": {"method": "m"}, "memberships": [{"asset_uri": "m.ply", "element_indices": [5, 1, 5]}]},
         {"city_object_uid": "b1_roof", "concept": "Roof", "assessed_at": "2027-01-01", "label": "later", "memberships": [{"asset_part_id": 2, "element_kind": "point", "element_indices": [20_000, 3]}]},
-        {"annotation_uid": "other", "city_object_uid": "new one", "concept": "s:Roof", "memberships": []},
+        {"annotation_uid": "other", "city_object_uid": "new one", "concept": "s:Roof", "memberships": [{"asset_part_id": 1, "element_indices": [9]}]},
     ],
 }
 
 
+ONE = [{"asset_part_id": 1, "element_indices": [1]}]
+
+
 def test_batch_is_applied_once_and_again(store, spark, rows, tmp_path):
     doc = {**BATCH, "annotations": [{**BATCH["annotations"][0], "annotation_uid": "x"}, {**BATCH["annotations"][1], "annotation_uid": "x"}, BATCH["annotations"][2]]}
-    apply_batch(store, doc)
+    with pytest.raises(StoreError, match="exists"):
+        apply_batch(store, doc)
+    apply_batch(store, doc, replace_existing=True)
     for s in (store, Store.open(spark, store.path)):
         assert rows(s.table("annotation"), "annotation_uid", "status", "label") == [("other", "draft", None), ("x", "draft", "later")]
-        assert rows(s.table("assessment"), "asset_id", "assessed_at", "status") == [(1, "2026-01-01", "draft"), (2, "2027-01-01", "accepted")]
-        assert rows(s.table("membership_block"), "asset_part_id", "block_start", "offsets") == [(1, 0, [1, 5]), (2, 0, [3]), (2, 16384, [3616])]
-    apply_batch(store, doc)
-    assert store.table("annotation").count() == 2 and store.table("assessment").count() == 2 and store.table("membership_block").count() == 3
+        assert rows(s.table("assessment"), "asset_id", "assessed_at", "status") == [(1, "2026-01-01", "draft"), (1, None, "accepted"), (2, "2027-01-01", "accepted")]
+        assert rows(s.table("membership_block"), "asset_part_id", "block_start", "offsets") == [(1, 0, [1, 5]), (1, 0, [9]), (2, 0, [3]), (2, 16384, [3616])]
+    apply_batch(store, doc, replace_existing=True)
+    assert store.table("annotation").count() == 2 and store.table("assessment").count() == 3 and store.table("membership_block").count() == 4
     assert rows(store.table("city_object"), "object_uid", "object_status") == [("b1_roof", "accepted"), ("new one", "temporary")]
     assert validate.is_ok(validate.run(store.tables(), "deep"))
     path = str(tmp_path / "out.gpkg")
@@ -51,10 +56,10 @@ def test_batch_is_applied_once_and_again(store, spark, rows, tmp_path):
 
 def test_derived_uid_and_refusals(store):
     apply_batch(store, {"annotations": [BATCH["annotations"][0]]})
-    assert store.table("annotation").first()["annotation_uid"] == "ann_g1_Roof"
+    assert store.table("annotation").first()["annotation_uid"] == "ann_b1_roof_Roof"
     before = store.manifest["version"]
-    for bad in ({"annotation": []}, {"annotations": [{"label": "x", "wrong": 1}]}, {"annotations": [{"city_object_uid": "absent", "concept": "Roof"}]}, {"annotations": [{"city_object_uid": "g1", "concept": "Wall"}]},
-                {"annotations": [{"annotation_uid": "y", "concept": "Roof", "attributes": {"x:path": 1}}]}, {"annotations": [{"annotation_uid": "y", "concept": "Roof", "memberships": [{"asset_part_id": 1, "element_kind": 2, "element_indices": [1]}]}]}):
+    for bad in ({"annotation": []}, {"annotations": [{"label": "x", "wrong": 1}]}, {"annotations": [{"city_object_uid": "absent", "concept": "Roof", "memberships": ONE}]}, {"annotations": [{"city_object_uid": "g1", "concept": "Wall", "memberships": ONE}]}, {"annotations": [{"annotation_uid": "y", "concept": "Roof"}]},
+                {"annotations": [{"annotation_uid": "y", "concept": "Roof", "attributes": {"x:path": 1}, "memberships": ONE}]}, {"annotations": [{"annotation_uid": "y", "concept": "Roof", "memberships": [{"asset_part_id": 1, "element_kind": 2, "element_indices": [1]}]}]}):
         with pytest.raises(StoreError):
             apply_batch(store, bad)
     assert store.manifest["version"] == before and store.table("annotation").count() == 1
