@@ -9,18 +9,29 @@ from facetlake.schema import CATEGORIES, DIRECTIONS, StoreError
 from facetlake.session import cut_lineage
 
 
-def typed_edges(edges: DataFrame, categories: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
-    """Edges of the categories and of the types, in union; both None means all, an empty list nothing."""
+def typed_edges(edges: DataFrame, categories: list[str] | None = None, types: list[str | tuple[str, str]] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Edges of the categories and of the types, in union; both None means all, an empty list nothing.
+
+    A type is a name, or a name and its code space (NULL and empty alike;
+    edges then have ``code_space``). One that ``known`` (rel_type, and
+    code_space where such are asked for; the edges themselves without it) does
+    not have raises, as does a category that is none: a slip of the pen is no
+    empty result.
+    """
     for c in categories or []:
         if c not in CATEGORIES:
             raise StoreError(f"no relationship category: {c!r}")
     if categories is None and types is None:
         return edges
+    space = lambda: F.coalesce("code_space", F.lit(""))
     keep = F.lit(False)
     if categories:
         keep = keep | F.coalesce(F.col("category").isin(categories), F.lit(False))
-    if types:
-        keep = keep | F.coalesce(F.col("rel_type").isin(types), F.lit(False))
+    for t in types or []:
+        test = lambda t=t: F.col("rel_type") == t if isinstance(t, str) else (F.col("rel_type") == t[0]) & (space() == (t[1] or ""))
+        if (known if known is not None else edges).where(test()).isEmpty():
+            raise StoreError(f"no relationship type: {t!r}")
+        keep = keep | F.coalesce(test(), F.lit(False))
     return edges.where(keep)
 
 
@@ -58,15 +69,18 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "out", inclu
 
     Breadth first with a visited set, so it ends on cycles. Each round joins
     the frontier with the hops and drops what was seen; lineage is cut each
-    round, so the plan stays one round long whatever the depth.
+    round, and what was seen is one table again after every eight.
     """
     step = cut_lineage(hops(edges, direction).withColumnRenamed("src", "object_id"))
     frontier = cut_lineage(starts.select(F.col("object_id").alias("root"), "object_id", F.lit(0).cast("long").alias("depth")).distinct())
-    seen = frontier
+    seen, rounds = frontier, 0
     while not frontier.isEmpty():
         nxt = frontier.join(step, "object_id").select("root", F.col("dst").alias("object_id"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = cut_lineage(nxt.join(seen.select("root", "object_id"), ["root", "object_id"], "left_anti"))
+        rounds += 1
         seen = seen.unionByName(frontier)
+        if rounds % 8 == 0:
+            seen = cut_lineage(seen)
     # A start is reached at depth 0 only; a cycle back to it adds no row.
     return seen if include_start else seen.where("depth > 0")
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.operators import blocks, claims, graph, paths, values
+from facetlake.operators import blocks, catalog, claims, graph, paths, values
 from facetlake.plans.projection import CHUNK, Projection, with_views
+from facetlake.schema import TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,7 +46,7 @@ def forward_elements(p: Projection) -> DataFrame:
 @query("SELECT b.* FROM member_block b JOIN annotation_fact a USING (annotation_id) WHERE a.status = 'accepted'")
 def forward_accepted_blocks(p: Projection) -> DataFrame:
     chosen = p.annotations().where("status = 'accepted'")
-    return _long(claims.elements_for_claims(p.member_blocks(), chosen, expand=False).drop("offsets", "block_size"), "element_count")
+    return _long(claims.elements_for_claims(p.member_blocks(chosen), expand=False).drop("offsets", "block_size"), "element_count")
 
 
 _SELECTED = "SELECT DISTINCT l_orderkey*7 + l_linenumber-1 element_index FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'"
@@ -60,22 +61,22 @@ def _selection(p: Projection) -> DataFrame:
 CAST(count(*) AS BIGINT) AS n_matched, min(m.element_index) AS first_element, max(m.element_index) AS last_element
 FROM member_element m JOIN ({_SELECTED}) s USING (element_index) JOIN annotation_fact a USING (annotation_id) JOIN class_dim c USING (class_id) LEFT JOIN object_dim o ON o.object_id = a.primary_object_id GROUP BY ALL""")
 def reverse_claims(p: Projection) -> DataFrame:
-    hit = claims.claims_for_elements(p.member_blocks(), _selection(p), ["annotation_id", "assessed_year"])
+    hit = claims.claims_for_elements(p.member_blocks(), _selection(p), ["annotation_id", "assessed_year"], elements=False)
     a = p.annotations().join(p.classes().select("class_id", F.col("local_name").alias("concept")), "class_id").join(p.objects().select(F.col("object_id").alias("primary_object_id"), F.col("object_uid").alias("primary_object_uid")), "primary_object_id", "left")
-    return hit.join(a, "annotation_id").select("annotation_id", "annotation_uid", "assessed_year", "concept", "primary_object_uid", "status", "first_block", "n_matched", F.element_at("matched_elements", 1).alias("first_element"), F.element_at("matched_elements", -1).alias("last_element"))
+    return hit.join(a, "annotation_id").select("annotation_id", "annotation_uid", "assessed_year", "concept", "primary_object_uid", "status", "first_block", "n_matched", "first_element", "last_element")
 
 
 @query(f"SELECT annotation_id, assessed_year, element_index FROM member_element JOIN ({_SELECTED}) s USING (element_index)")
 def reverse_elements(p: Projection) -> DataFrame:
-    return claims.claims_for_elements(p.member_blocks(), _selection(p), ["annotation_id", "assessed_year"]).select("annotation_id", "assessed_year", F.explode("matched_elements").alias("element_index"))
+    return claims.matched_elements(p.member_blocks(), _selection(p), ["annotation_id", "assessed_year"]).select("annotation_id", "assessed_year", "element_index")
 
 
 @query(f"""SELECT annotation_id, CAST(count(DISTINCT element_index) AS BIGINT) AS n_matched FROM member_element JOIN ({_SELECTED}) s USING (element_index)
 WHERE assessed_year = (SELECT max(assessed_year) FROM member_element) GROUP BY annotation_id""")
 def reverse_one_assessment(p: Projection) -> DataFrame:
-    b = p.member_blocks()
     last = p.stated_elements().agg(F.max("assessed_year").alias("assessed_year"))
-    return claims.claims_for_elements(b.join(F.broadcast(last), "assessed_year", "left_semi"), _selection(p), ["annotation_id"]).select("annotation_id", "n_matched")
+    one = p.stated_elements().join(F.broadcast(last), "assessed_year", "left_semi")
+    return claims.claims_for_elements(blocks.build_blocks(one, CLAIM), _selection(p), ["annotation_id"], elements=False).select("annotation_id", "n_matched")
 
 
 # --- concept and object subtrees
@@ -91,7 +92,7 @@ def class_closure(p: Projection) -> DataFrame:
 @query("SELECT b.* FROM member_block b JOIN annotation_fact a USING (annotation_id) WHERE a.class_id IN (SELECT descendant FROM closure WHERE ancestor = (SELECT class_id FROM class_dim WHERE local_name = 'EUROPE'))", _CLOSURE)
 def class_subtree_blocks(p: Projection) -> DataFrame:
     chosen = p.classes().where("local_name = 'EUROPE'").select("class_id")
-    return _long(claims.class_subtree(graph.closure(p.classes()), p.annotations(), p.member_blocks(), chosen).drop("offsets", "block_size"), "element_count")
+    return _long(p.member_blocks(claims.claims_of_classes(graph.closure(p.classes()), p.annotations(), chosen)).drop("offsets", "block_size"), "element_count")
 
 
 @query("SELECT k.ancestor AS class_id, CAST(count(DISTINCT a.annotation_id) AS BIGINT) AS n_claims, CAST(count(*) AS BIGINT) AS n_blocks, CAST(sum(b.element_count) AS BIGINT) AS n_elements FROM closure k JOIN annotation_fact a ON a.class_id = k.descendant JOIN member_block b USING (annotation_id) GROUP BY k.ancestor", _CLOSURE)
@@ -110,7 +111,7 @@ _ABOUT = "(SELECT annotation_id FROM annotation_fact WHERE primary_object_id IN
 def _object_blocks(p: Projection, uids: list[str]) -> DataFrame:
     start = p.objects().where(F.col("object_uid").isin(uids)).select("object_id")
     reached = graph.reachable(graph.typed_edges(p.edges(), ["containment"]), start).select("object_id").distinct()
-    return _long(claims.object_subtree(reached, p.annotations(), p.links(), p.member_blocks()).drop("offsets", "block_size"), "element_count")
+    return _long(p.member_blocks(claims.claims_of_objects(reached, p.annotations(), p.links())).drop("offsets", "block_size"), "element_count")
 
 
 @query(f"SELECT * FROM member_block WHERE annotation_id IN {_ABOUT}", _REACH.format(uids="'ASIA'"))
@@ -195,9 +196,9 @@ def value_where_callable(p: Projection) -> DataFrame:
     return values.elements_where(values.chunk_values(_first_index(p), ["asset_part_id"], CHUNK), lambda v: (v < 910) | v.between(950, 960), keys=["asset_part_id"])
 
 
-@query("SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index, v FROM value_element WHERE NOT isnan(v)")
+@query("SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index, CASE WHEN NOT isnan(v) THEN v END v, isnan(v) no_value FROM value_element")
 def value_read(p: Projection) -> DataFrame:
-    return values.field_values(values.chunk_values(_first_index(p), ["asset_part_id"], CHUNK), ["asset_part_id"]).where(~F.isnan("v"))
+    return values.field_values(values.chunk_values(_first_index(p), ["asset_part_id"], CHUNK), ["asset_part_id"]).select("asset_part_id", "element_index", F.when(~F.isnan("v"), F.col("v")).alias("v"), F.isnan("v").alias("no_value"))
 
 
 @query(f"""SELECT CAST(2 AS BIGINT) asset_part_id, min(v) FILTER (WHERE NOT isnan(v)) min_value, max(v) FILTER (WHERE NOT isnan(v)) max_value, CAST(count(*) AS BIGINT) value_count, CAST(count(DISTINCT element_index - element_index % {CHUNK}) AS BIGINT) block_count FROM value_element""")
@@ -282,5 +283,97 @@ def parts_list(p: Projection) -> DataFrame:
     return p.parts().join(used, "asset_part_id", "left").select("asset_part_id", "asset_id", "part_path", "element_kind", "element_count", F.coalesce("n", F.lit(0)).cast("long").alias("claimed"))
 
 
+# --- lists and lookups over the claims as a store
+
+_A = """SELECT a.annotation_id, a.annotation_uid, a.class_id AS semantic_class_id, 'world' AS semantic_scheme, 'w:' || c.local_name AS semantic_class_uri, c.local_name AS semantic_class, a.class_id >= 1000 AS semantic_is_ade,
+a.primary_object_id AS primary_city_object_id, o.object_uid AS primary_city_object_uid, 'gml-' || o.object_uid AS primary_city_object_gml_id, a.status, CAST(coalesce(m.y, 0) AS BIGINT) assessment_count, CAST(coalesce(m.p, 0) AS BIGINT) part_count,
+CAST(coalesce(m.b, 0) AS BIGINT) block_count, CAST(coalesce(m.n, 0) AS BIGINT) element_count FROM annotation_fact a JOIN class_dim c USING (class_id) LEFT JOIN object_dim o ON o.object_id = a.primary_object_id
+LEFT JOIN (SELECT annotation_id, count(DISTINCT assessed_year) y, count(DISTINCT asset_part_id) p, count(*) b, sum(element_count) n FROM member_block GROUP BY 1) m USING (annotation_id)"""
+_EMPTY = ["semantic_scheme_version", "label", "confidence", "attributes_json", "created_at", "updated_at"]
+
+
+def _listed(p: Projection, **filters) -> DataFrame:
+    return catalog.list_annotations(p.store(), **filters).drop(*_EMPTY)
+
+
+@query(f"{_A} WHERE a.status = 'accepted' AND c.local_name = 'NATION_6'")
+def annotations_of_class_name(p: Projection) -> DataFrame:
+    return _listed(p, status="accepted", class_name="NATION_6")
+
+
+@query(f"{_A} WHERE a.class_id = 1003 ORDER BY a.annotation_id LIMIT 5")
+def annotations_limited(p: Projection) -> DataFrame:
+    return _listed(p, class_id=1003, limit=5)
+
+
+@query(f"{_A} WHERE a.primary_object_id = 100007 OR a.annotation_id IN (SELECT annotation_id FROM link_fact WHERE object_id = 100007)")
+def annotations_of_object(p: Projection) -> DataFrame:
+    return _listed(p, object_id=100007)
+
+
+@query(f"{_A} WHERE a.annotation_id IN (SELECT k.annotation_id FROM link_fact k JOIN object_dim d USING (object_id) WHERE d.object_uid = 'Supplier#000000010')")
+def annotations_of_linked_object(p: Projection) -> DataFrame:
+    return _listed(p, object_uid="gml-Supplier#000000010")
+
+
+@query(f"{_A} WHERE a.annotation_id IN (SELECT annotation_id FROM member_block WHERE asset_part_id = 1)")
+def annotations_of_part(p: Projection) -> DataFrame:
+    return _listed(p, asset_id=1, asset_part_id=1)
+
+
+_S = """SELECT annotation_id * 10000 + assessed_year assessment_id, 'asm_' || (annotation_id * 10000 + assessed_year) assessment_uid, annotation_id, a.annotation_uid, CAST(1 AS BIGINT) asset_id, 'lineitem/all' asset_uri, 'mesh' asset_kind,
+CASE WHEN assessed_year > 1992 THEN assessed_year || '-01-01' END assessed_at, 'accepted' status, CAST(coalesce(g.r, 0) AS BIGINT) path_run_count, CAST(coalesce(g.s, 0) AS BIGINT) segment_count, CAST(m.n AS BIGINT) selected_count
+FROM (SELECT annotation_id, assessed_year, sum(element_count) n FROM member_block GROUP BY ALL) m LEFT JOIN annotation_fact a USING (annotation_id) LEFT JOIN (SELECT annotation_id, CAST(1994 AS BIGINT) assessed_year, count(*) s, sum(1 - continues_previous) r FROM path_segment GROUP BY 1) g USING (annotation_id, assessed_year)"""
+
+
+@query(_S)
+def assessments_list(p: Projection) -> DataFrame:
+    return catalog.list_assessments(p.store()).drop("confidence", "attributes_json", "created_at", "updated_at")
+
+
+@query(f"{_S} WHERE annotation_id = 7")
+def assessments_of_claim(p: Projection) -> DataFrame:
+    return catalog.list_assessments(p.store(), annotation_id=7, asset_id=1).drop("confidence", "attributes_json", "created_at", "updated_at")
+
+
+@query(f"{_A} WHERE a.annotation_uid = 'ann_Supplier#000000007'")
+def annotation_by_uid(p: Projection) -> DataFrame:
+    t = {**p.store(), "value_block": p.spark.createDataFrame([], TABLES["value_block"])}
+    return catalog.get_annotation(t, "ann_Supplier#000000007")["annotation"].drop(*_EMPTY)
+
+
+@query("SELECT annotation_id * 10000 + assessed_year assessment_id, asset_part_id, CAST(1 AS INTEGER) element_kind, CAST(count(*) AS BIGINT) block_count, CAST(sum(element_count) AS BIGINT) element_count FROM member_block WHERE annotation_id = 7 GROUP BY ALL")
+def annotation_memberships(p: Projection) -> DataFrame:
+    t = {**p.store(), "value_block": p.spark.createDataFrame([], TABLES["value_block"])}
+    return catalog.get_annotation(t, 7)["memberships"]
+
+
+@query("SELECT class_id, local_name FROM closure k JOIN class_dim c ON c.class_id = k.descendant WHERE k.ancestor = 102", _CLOSURE)
+def classes_instantiable(p: Projection) -> DataFrame:
+    t = p.store()
+    k = graph.closure(p.classes())
+    return catalog.instantiable_classes(t["semantic_class"], k, "ASIA").select(F.col("semantic_class_id").alias("class_id"), "local_name")
+
+
+@query("SELECT annotation_id * 10000 + assessed_year assessment_id, element_index FROM member_element WHERE annotation_id = 7 AND assessed_year = 1995")
+def forward_one_assessment(p: Projection) -> DataFrame:
+    one = p.annotations().where("annotation_id = 7").select("annotation_id")
+    return claims.elements_for_claims(p.store()["membership_block"], one, assessment_id=71995, asset_part_id=1).select("assessment_id", "element_index")
+
+
+@query("SELECT object_id AS city_object_id, object_uid FROM object_dim WHERE object_id IN (SELECT object_id FROM reach)", _REACH.format(uids="'MIDDLE EAST'"))
+def objects_below(p: Projection) -> DataFrame:
+    start = p.objects().where("object_uid = 'MIDDLE EAST'").select("object_id")
+    below = graph.reachable(graph.typed_edges(p.edges(), types=["boundary", "part"]), start).select(F.col("object_id").alias("city_object_id"))
+    objects = p.store()["city_object"].withColumns({"object_status": F.lit("accepted"), "source_asset_id": F.lit(None).cast("long")})
+    return catalog.list_objects(objects, p.store()["asset"], below=below).select("city_object_id", "object_uid")
+
+
+@query(f"SELECT asset_part_id, 'f8' value_dtype, CAST(count(DISTINCT element_index // {CHUNK}) AS BIGINT) block_count, CAST(count(*) AS BIGINT) value_count, min(v) FILTER (WHERE NOT isnan(v)) min_value, max(v) FILTER (WHERE NOT isnan(v)) max_value FROM (SELECT CAST(2 AS BIGINT) asset_part_id, element_index - (SELECT min(p_partkey) FROM part) element_index, v FROM value_element) GROUP BY asset_part_id")
+def value_fields_summary(p: Projection) -> DataFrame:
+    field = values.chunk_values(_first_index(p), ["asset_part_id"], CHUNK)
+    return catalog.value_rollup(field.withColumns({"annotation_id": F.lit(1), "assessment_id": F.lit(1), "element_kind": F.lit(2), "value_dtype": F.lit("f8")})).select("asset_part_id", "value_dtype", "block_count", "value_count", "min_value", "max_value")
+
+
 def queries() -> dict:
     return QUERIES

@@ -76,8 +76,27 @@ class Projection:
     def elements(self) -> DataFrame:
         return self.stated_elements().distinct()
 
-    def member_blocks(self) -> DataFrame:
-        return blocks.build_blocks(self.stated_elements(), ["annotation_id", "assessed_year", "asset_part_id"])
+    def member_blocks(self, chosen: DataFrame | None = None) -> DataFrame:
+        """Blocks of all claims, or of those in ``chosen`` (annotation_id): no others are built."""
+        stated = self.stated_elements()
+        return blocks.build_blocks(stated if chosen is None else stated.join(chosen.select("annotation_id").distinct(), "annotation_id", "left_semi"), ["annotation_id", "assessed_year", "asset_part_id"])
+
+    def store(self) -> dict[str, DataFrame]:
+        """The same claims as tables of a store; assessments are (claim, year)."""
+        none = lambda kind: F.lit(None).cast(kind)
+        stated = self.stated_elements().withColumns({"assessment_id": F.col("annotation_id") * 10_000 + F.col("assessed_year"), "element_kind": F.lit(1)})
+        years = stated.select("assessment_id", "annotation_id", "assessed_year").distinct()
+        return {
+            "asset": self.parts().groupBy("asset_id").agg(F.min("part_path").alias("uri")).withColumns({"asset_kind": F.when(F.col("asset_id") == 3, "pointcloud").otherwise("mesh"), "content_hash": none("string"), "srs_id": none("int")}),
+            "asset_part": self.parts(),
+            "semantic_class": self.classes().select(F.col("class_id").alias("semantic_class_id"), F.lit("world").alias("scheme"), none("string").alias("scheme_version"), F.concat(F.lit("w:"), "local_name").alias("class_uri"), "local_name", F.col("parent_id").alias("parent_class_id"), none("string").alias("concept_iri"), (F.col("class_id") >= 1000).alias("is_ade")),
+            "city_object": self.objects().select(F.col("object_id").alias("city_object_id"), "object_uid", F.concat(F.lit("gml-"), "object_uid").alias("gml_id"), F.col("class_id").alias("semantic_class_id")),
+            "annotation": self.annotations().select("annotation_id", "annotation_uid", F.col("class_id").alias("semantic_class_id"), F.col("primary_object_id").alias("primary_city_object_id"), "status", *[none(k).alias(c) for c, k in (("confidence", "double"), ("label", "string"), ("attributes_json", "string"), ("created_at", "string"), ("updated_at", "string"))]),
+            "annotation_object": self.links().withColumnRenamed("object_id", "city_object_id"),
+            "assessment": years.select("assessment_id", F.concat(F.lit("asm_"), "assessment_id").alias("assessment_uid"), "annotation_id", F.lit(1).cast("long").alias("asset_id"), F.when(F.col("assessed_year") > 1992, F.concat(F.col("assessed_year").cast("string"), F.lit("-01-01"))).alias("assessed_at"), F.lit("accepted").alias("status"), none("double").alias("confidence"), none("string").alias("attributes_json"), none("string").alias("created_at"), none("string").alias("updated_at")),
+            "membership_block": blocks.build_blocks(stated, ["assessment_id", "annotation_id", "asset_part_id", "element_kind"]),
+            "path_block": self.path_segments().select(F.lit(None).cast("long").alias("path_block_id"), (F.col("annotation_id") * 10_000 + 1994).alias("assessment_id"), "asset_part_id", "segment_ordinal", "continues_previous", "element_count", "indices"),
+        }
 
     def value_elements(self) -> DataFrame:
         v = F.when(F.col("p_size") % 10 == 0, float("nan")).otherwise(F.col("p_retailprice"))

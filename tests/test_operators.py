@@ -26,6 +26,8 @@ def test_reverse_query_against_sets(spark, name):
     got = {r["annotation_id"]: r["matched_elements"] for r in claims.claims_for_elements(city_blocks(spark), sel, ["annotation_id"]).collect()}
     want = {a: sorted(set(s) & set(SELECTIONS[name])) for a, s in CITY.items()}
     assert got == {a: s for a, s in want.items() if s}
+    picked = [i for i in SELECTIONS[name] if i is not None]
+    assert {r["annotation_id"]: r["matched_elements"] for r in claims.claims_for_pick(city_blocks(spark), 1, picked, ["annotation_id"]).collect()} == got
 
 
 def test_plan_joins_on_block_and_never_by_nested_loop(spark):
@@ -60,6 +62,25 @@ def test_float_thresholds_and_casts(spark):
         values.elements_where(chunks, "=~", 1.0)
 
 
+def test_typed_edges_know_their_types(spark, rows):
+    edges = spark.createDataFrame([(1, 2, "part", "a", "containment"), (2, 3, "part", None, None), (3, 1, "near", "", "peer")], "src long, dst long, rel_type string, code_space string, category string")
+    assert rows(graph.typed_edges(edges, types=["part"]), "src") == [(1,), (2,)] and rows(graph.typed_edges(edges, types=[("part", None)]), "src") == [(2,)]
+    assert rows(graph.typed_edges(edges, ["peer"], [("part", "a")]), "src") == [(1,), (3,)] and graph.typed_edges(edges, [], []).count() == 0 and graph.typed_edges(edges).count() == 3
+    for bad in ("prat", ("part", "b"), ("near", "a")):
+        with pytest.raises(StoreError):
+            graph.typed_edges(edges, types=[bad])
+    with pytest.raises(StoreError):
+        graph.typed_edges(edges, ["kinship"])
+
+
+def test_list_limits(spark):
+    df = spark.range(5)
+    assert catalog.limited(df, 2).count() == 2 and catalog.limited(df, None).count() == 5
+    for bad in (0, -1):
+        with pytest.raises(StoreError):
+            catalog.limited(df, bad)
+
+
 def test_field_problems(spark, rows):
     chunks = spark.createDataFrame([("ok", 1, 0, 5), ("ok", 1, 5, 5), ("gap", 1, 0, 4), ("gap", 1, 5, 5), ("over", 1, 0, 6), ("over", 1, 5, 5), ("part", 1, 0, 5)], "f string, asset_part_id long, block_start long, element_count long")
     parts = spark.createDataFrame([(1, 10)], "asset_part_id long, element_count long")
