@@ -29,11 +29,12 @@ def main(argv: list[str] | None = None) -> int:
     except (StoreError, FileNotFoundError) as e:
         print(f"cannot open {args.store}: {e}", file=sys.stderr)
         return 2
-    issues = validate.run(store.tables(), args.level, base_dir=args.base_dir).cache()
+    skipped: list[tuple[str, str]] = []
+    issues = validate.run({**store.tables(), "header": store.header()}, args.level, base_dir=args.base_dir, skipped=skipped).cache()
     counts = {r["severity"]: r["count"] for r in issues.groupBy("severity").count().collect()}
     shown = [r.asDict() for r in issues.orderBy("severity", "code", "row_id").limit(MOST_SHOWN).collect()]
     if args.format == "json":
-        print(json.dumps({"errors": counts.get("error", 0), "warnings": counts.get("warning", 0), "issues": shown}))
+        print(json.dumps({"errors": counts.get("error", 0), "warnings": counts.get("warning", 0), "issues": shown, "not_checked": [c for c, _ in skipped]}))
     else:
         for r in shown:
             print(f"{r['severity'].upper()} {r['code']} {r['table_name']} {r['row_id']} {r['details']}".rstrip())

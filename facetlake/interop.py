@@ -146,3 +146,16 @@ def extent_problems(blobs: dict[int, bytes], srs_id: int) -> list[tuple[int, str
         except StoreError:
             out.append((asset, "CORRUPT_EXTENT_BLOB"))
     return out
+
+
+def header_table(spark: SparkSession, path: str) -> DataFrame:
+    """What a file's header, catalogue and extents lack, as the table ``header`` of ``validate.run``: code, row_id, details. Extents are one row an asset."""
+    conn = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    try:
+        names = {r[0] for r in conn.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+        srs = [r[0] for r in conn.execute("SELECT srs_id FROM gpkg_geometry_columns WHERE table_name = 'asset_extent'")] if "gpkg_geometry_columns" in names else []
+        blobs = dict(conn.execute("SELECT asset_id, geom FROM asset_extent")) if "asset_extent" in names else {}
+    finally:
+        conn.close()
+    rows = [(code, path, "") for _, code in header_problems(path)] + [(code, str(asset), "") for asset, code in (extent_problems(blobs, srs[0]) if srs else [])]
+    return spark.createDataFrame(rows, "code string, row_id string, details string")

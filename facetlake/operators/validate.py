@@ -374,19 +374,39 @@ for _code, _state, _sev in (("ASSET_FILE_MISSING", "missing", "error"), ("ASSET_
     rule(_code, "asset", _sev, "external")(lambda t, s=_state: _rows(t["asset_files"].where(F.col("status") == s), "asset_id", F.col("uri")) if "asset_files" in t else None)
 
 
-def run(tables: Tables, level: str = "basic", codes: list[str] | None = None, base_dir: str | None = None) -> DataFrame:
-    """All issues up to ``level``; tables that are absent leave out the rules that need them."""
+#: What a file's or store's header can lack: found by its reader, given to ``run`` as the table ``header`` (code, row_id, details).
+for _code, _severity, _table in [
+    ("INVALID_GPKG_APPLICATION_ID", "error", "header"), ("OLD_GPKG_USER_VERSION", "warning", "header"), ("MISSING_GPKG_TABLE", "error", "gpkg"), ("MISSING_GPKG_SRS", "error", "gpkg_spatial_ref_sys"), ("MISSING_EXTENSION_ROW", "warning", "gpkg_extensions"),
+    ("MISSING_GIS_ATTRIBUTE_LAYER", "warning", "gpkg_contents"), ("MISSING_GIS_FEATURES_LAYER", "warning", "gpkg_contents"), ("INCONSISTENT_FEATURES_LAYER", "error", "gpkg_contents"), ("FEATURES_LAYER_SRS_MISMATCH", "error", "gpkg_geometry_columns"),
+    ("MISSING_PROFILE", "error", "manifest"), ("INVALID_PACKAGE_IRI", "error", "manifest"), ("CORRUPT_EXTENT_BLOB", "error", "asset_extent"), ("EXTENT_SRS_MISMATCH", "error", "asset_extent"),
+]:
+    rule(_code, _table, _severity)(lambda t, c=_code: _rows(t["header"].where(F.col("code") == c), "row_id", F.col("details")))
+
+
+class Absent(KeyError):
+    """A rule asked for a table that is not given."""
+
+
+class _Given(dict):
+    def __missing__(self, name: str):
+        raise Absent(name)
+
+
+def run(tables: Tables, level: str = "basic", codes: list[str] | None = None, base_dir: str | None = None, skipped: list[tuple[str, str]] | None = None) -> DataFrame:
+    """All issues up to ``level``; rules whose tables are not given are left out, and told as (code, table) in ``skipped``."""
     if level not in LEVELS:
         raise StoreError(f"no validation level: {level!r}")
     if level == "external" and base_dir is not None:
         tables = {**tables, "asset_files": file_states(tables["asset"], base_dir)}
-    out: DataFrame | None = None
+    given, out = _Given(tables), None
     for r in RULES.values():
         if LEVELS.index(r.level) > LEVELS.index(level) or (codes is not None and r.code not in codes):
             continue
         try:
-            found = r.check(tables)
-        except KeyError:
+            found = r.check(given)
+        except Absent as e:
+            if skipped is not None:
+                skipped.append((r.code, e.args[0]))
             continue
         if found is not None:
             rows = found.select(F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), F.lit(r.table).alias("table_name"), "row_id", "details")

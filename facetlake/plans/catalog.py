@@ -30,7 +30,11 @@ def imported_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     t = lambda n: table(spark, folder, n)
     type_id = F.concat("local_name", F.lit("|"), F.coalesce("code_space", F.lit("")))
     rel, batch = t("imported_relationship"), t("example_annotation_batch")
-    member = batch.select("entry_id", F.explode("memberships").alias("m")).where("m.asset_part_id is not null").select("entry_id", "m.asset_part_id", F.explode("m.element_indices").alias("element_index")).where("element_index is not null")
+    # Parts are named by id, else by uri and path; a name that no part has is for the orphan report, not for rules about blocks.
+    named = t("asset_part").join(t("asset").select("asset_id", "uri"), "asset_id").groupBy("uri", "part_path").agg(F.min("asset_part_id").alias("by_uri"))
+    stated = batch.select("entry_id", F.explode("memberships").alias("m")).select("entry_id", "m.*").drop("element_kind").withColumnRenamed("asset_uri", "uri")
+    by_uri = stated.where("asset_part_id is null").join(named, ["uri", "part_path"]).select("entry_id", F.col("by_uri").alias("asset_part_id"), "element_indices")
+    member = stated.where("asset_part_id is not null").select("entry_id", "asset_part_id", "element_indices").unionByName(by_uri).select("entry_id", "asset_part_id", F.explode("element_indices").alias("element_index")).where("element_index is not null")
     built = blocks.build_blocks(member, ["entry_id", "asset_part_id"])
     return {
         "asset": t("asset"), "asset_part": t("asset_part"),
@@ -47,8 +51,9 @@ def imported_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
-_BLOCKS = """mb AS (SELECT entry_id, part, x - x % 16384 block_start, count(DISTINCT x) n, max(x) hi FROM (SELECT entry_id, m.asset_part_id part, unnest(m.element_indices) x
-FROM (SELECT entry_id, unnest(memberships) m FROM example_annotation_batch) WHERE m.asset_part_id IS NOT NULL) WHERE x IS NOT NULL GROUP BY ALL)"""
+_BLOCKS = """named AS (SELECT uri, part_path, min(asset_part_id) by_uri FROM asset_part JOIN asset USING (asset_id) GROUP BY ALL),
+mb AS (SELECT entry_id, part, x - x % 16384 block_start, count(DISTINCT x) n, max(x) hi FROM (SELECT entry_id, coalesce(m.asset_part_id, by_uri) part, unnest(m.element_indices) x
+FROM (SELECT entry_id, unnest(memberships) m FROM example_annotation_batch) LEFT JOIN named ON m.asset_part_id IS NULL AND uri = m.asset_uri AND named.part_path = m.part_path WHERE coalesce(m.asset_part_id, by_uri) IS NOT NULL) WHERE x IS NOT NULL GROUP BY ALL)"""
 _MB_ID = "entry_id || '/' || part || '/' || block_start"
 _TYPE = "relationship_type || '|' || coalesce(code_space, '')"
 _ISSUES = {

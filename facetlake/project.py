@@ -73,7 +73,7 @@ def register_city_model(store: Store, path: str, graph_name: str = "default") ->
     wanted = objects.join(names, ["ns", "semantic_class"]).select("object_uid", "gml_id", "semantic_class_id", F.lit(asset).alias("source_asset_id"), F.lit("accepted").alias("object_status"))
     stored = cut_lineage(mutate.merge_rows(store.table("city_object"), wanted, ["object_uid"], "city_object_id"))
     store.stage("city_object", stored)
-    inline = edges.where("to_uid is not null").select("relationship_type", "code_space").distinct()
+    inline = edges.where("to_uid is not null or stated").select("relationship_type", "code_space").distinct()
     types = mutate.register_types(store.table("relationship_type"), inline.select(F.col("relationship_type").alias("local_name"), "code_space", F.lit(None).cast("string").alias("category")))
     types = cut_lineage(types)
     store.stage("relationship_type", types)
@@ -81,7 +81,7 @@ def register_city_model(store: Store, path: str, graph_name: str = "default") ->
     to = stored.select(F.col("object_uid").alias("to_uid"), F.col("city_object_id").alias("to_city_object_id"))
     t = types.select(F.col("local_name").alias("relationship_type"), F.coalesce("code_space", F.lit("")).alias("code_space"), "relationship_type_id")
     rows = edges.join(t, ["relationship_type", "code_space"]).join(ids, "from_uid").join(to, "to_uid", "left").select(
-        F.lit(graph_name).alias("graph_name"), "from_city_object_id", "to_city_object_id", "to_external_uri", "relationship_type_id", F.lit(None).cast("string").alias("role"),
+        F.lit(graph_name).alias("graph_name"), "from_city_object_id", "to_city_object_id", "to_external_uri", "relationship_type_id", "role",
         F.lit(asset).alias("source_asset_id"), F.lit(None).cast("string").alias("source_relation_id"), F.lit(None).cast("string").alias("metadata_json"),
     )
     store.stage("relationship", mutate.link_objects(store.table("relationship"), rows))
@@ -108,7 +108,7 @@ def build(spark: SparkSession, config: dict, base_dir: str = ".", update: bool =
         for p in config.get("batches", []):
             with open(at(p), encoding="utf-8") as f:
                 batch.apply_batch(store, json.load(f), os.path.dirname(at(p)), replace_existing=update)
-        issues = validate.run(store.tables(), config.get("validate_level", "basic"), base_dir=base_dir).cache()
+        issues = validate.run({**store.tables(), "header": store.header()}, config.get("validate_level", "basic"), base_dir=base_dir).cache()
         errors = issues.where("severity = 'error'").limit(SAMPLES).collect()
         if errors:
             raise StoreError(f"the result is not sound: {[(r['code'], r['row_id']) for r in errors]}")

@@ -1,7 +1,7 @@
 """City-model semantics, schemas and vocabularies as DataFrames of objects, edges and concepts.
 
-A document is read once by a streaming parser (in a worker where several files
-are read); names are resolved by joins.
+A city model is read once by a streaming parser in a worker; names are
+resolved by joins.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetlake.schema import CATEGORIES, StoreError
+from facetlake.session import written
 
 # Namespaces of the public encodings.
 GML = "http://www.opengis.net/gml"
@@ -27,6 +28,7 @@ RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 RDFS = "{http://www.w3.org/2000/01/rdf-schema#}"
 OWL = "{http://www.w3.org/2002/07/owl#}"
 # The category of each property that links city objects in version 3.0 of the public schema, by its module.
+# The schema itself has no categories; some (boundary, storey, relatedTo among them) are a reading of it that must be the same for all stores.
 DEFAULT_CATEGORIES = {
     "3.0": {"boundary": "containment", "relatedTo": "peer", "generalizesTo": "generalization"},
     "construction/3.0": {"filling": "containment", "fillingSurface": "containment"},
@@ -58,20 +60,28 @@ def _gml_id(e: ET.Element) -> str | None:
     return next((v for k, v in e.attrib.items() if k.startswith("{" + GML) and k.endswith("}id")), None)
 
 
+#: Elements that stand for a relation and carry its type or role themselves.
+OBJECTIFIED = {"CityObjectRelation", "Role"}
+
+
 def parse_citygml(path: str, classes: set[tuple[str, str]]) -> tuple[list[tuple], list[tuple]]:
     """(objects, edges) of a document.
 
     An object is an element whose qualified name is one of ``classes``:
-    (number, gml_id, namespace, name). An edge is (owner number, property
-    namespace, property, target number, target href): the owner is the nearest
-    object around the property, and the target stands inline or as a link. An
-    element in between that has its own ``relationType`` types the edge.
+    (number, gml_id, namespace, name). An edge is (owner number, type's code
+    space, type, target number, target href, role, whether its type was stated):
+    the owner is the nearest object around the property, and the target stands
+    inline or as a link. The type is the property, but where a relation element
+    lies between owner and target, the ``relationType`` it states, wherever in
+    the element that stands.
     """
     objects, edges = [], []
     owners: list[int] = []
     open_elements: list[tuple[str, str, bool]] = []
+    relations: list[dict] = []
     for event, e in ET.iterparse(path, events=("start", "end")):
         ns, name = _split(e.tag)
+        relation = name in OBJECTIFIED and ns.startswith(CITYGML)
         if event == "start":
             is_object = (ns, name) in classes
             if is_object:
@@ -79,32 +89,65 @@ def parse_citygml(path: str, classes: set[tuple[str, str]]) -> tuple[list[tuple]
                 objects.append((number, _gml_id(e), ns, name))
                 if owners:
                     prop = next(((n, p) for n, p, o in reversed(open_elements) if not o), ("", ""))
-                    edges.append((owners[-1], *prop, number, None))
+                    edges.append((owners[-1], *prop, number, None, None, False))
                 owners.append(number)
             elif owners and XLINK in e.attrib:
-                edges.append((owners[-1], ns, name, None, e.attrib[XLINK]))
+                edges.append((owners[-1], ns, name, None, e.attrib[XLINK], None, False))
+            if relation:
+                relations.append({"since": len(edges), "owner": owners[-1] if owners else None})
             open_elements.append((ns, name, is_object))
-        else:
-            if open_elements.pop()[2]:
-                owners.pop()
-            e.clear()
+            continue
+        text = (e.text or "").strip()
+        if relations and text and name in ("relationType", "role"):
+            relations[-1] |= {"type": text, "space": e.attrib.get("codeSpace", "")} if name == "relationType" else {"role": text}
+        if relation:
+            r = relations.pop()
+            for i in range(r["since"], len(edges)):
+                owner, space, kind, target, href, role, stated = edges[i]
+                # Edges of objects that lie within the target are their own.
+                if owner == r["owner"]:
+                    said = (r["space"], r["type"]) if "type" in r else (space, kind)
+                    edges[i] = (owner, *said, target, href, r.get("role", role), stated or "type" in r)
+        if open_elements.pop()[2]:
+            owners.pop()
+        e.clear()
     return objects, edges
 
 
+_PARSED = "path string, what string, n long, gml_id string, ns string, name string, target long, href string, role string, stated boolean"
+
+
+def parsed_citygml(spark: SparkSession, files: list[str], classes: set[tuple[str, str]]) -> DataFrame:
+    """Objects and edges of documents as rows, written; a worker parses one document at a time, none passes through the driver."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf["path"]:
+                try:
+                    objects, edges = parse_citygml(p, classes)
+                except (OSError, ET.ParseError) as x:
+                    raise StoreError(f"{p}: {x}") from None
+                rows = [(p, "object", n, g, ns, name, None, None, None, None) for n, g, ns, name in objects] + [(p, "edge", o, None, ns, t, to, href, role, stated) for o, ns, t, to, href, role, stated in edges]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")]).astype({"target": "Int64", "stated": "boolean"})
+
+    return written(spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files))).mapInPandas(parse, _PARSED))
+
+
 def read_citygml(spark: SparkSession, path: str, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(objects: object_uid, gml_id, semantic_class, ns; edges: from_uid, to_uid, to_external_uri, relationship_type, code_space).
+    """(objects: object_uid, gml_id, semantic_class, ns; edges: from_uid, to_uid, to_external_uri, relationship_type, code_space, role, stated).
 
     ``concepts`` has (source_namespace, local_name). A gml:id stated twice
     counts once, the first place; an object without one gets a generated uid.
     A link is resolved by its fragment; one that finds nothing stays external.
-    Links of properties that no edge of the document and no given type knows are left out by the caller's type join.
+    ``stated`` tells types that a relation element names. Links of properties
+    that no edge of the document and no given type knows are left out by the caller's type join.
     """
     names = {(r[0], r[1]) for r in concepts.select("source_namespace", "local_name").distinct().toLocalIterator()}
-    objects, edges = parse_citygml(path, names)
-    o = spark.createDataFrame(objects, "n long, gml_id string, ns string, semantic_class string")
+    rows = parsed_citygml(spark, [path], names)
+    o = rows.where("what = 'object'").select("n", "gml_id", "ns", F.col("name").alias("semantic_class"))
     uid = F.coalesce(F.nullif("gml_id", F.lit("")), F.format_string("generated_%s_%06d", "semantic_class", "n"))
     o = o.withColumn("object_uid", uid).withColumn("first", F.row_number().over(W.partitionBy("object_uid").orderBy("n")) == 1)
-    e = spark.createDataFrame(edges, "owner long, code_space string, relationship_type string, target long, href string")
+    e = rows.where("what = 'edge'").select(F.col("n").alias("owner"), F.col("ns").alias("code_space"), F.col("name").alias("relationship_type"), "target", "href", "role", "stated")
     target_key = F.substring_index("href", "#", -1)
     local = o.where("first").select(F.col("object_uid").alias("linked_uid"), F.col("gml_id").alias("key")).where("key is not null")
     e = (
@@ -113,7 +156,8 @@ def read_citygml(spark: SparkSession, path: str, concepts: DataFrame) -> tuple[D
         .withColumn("key", F.when(F.col("href").startswith("#"), target_key)).join(local, "key", "left")
     )
     to = F.coalesce("inline_uid", "linked_uid")
-    return o.where("first").drop("n", "first"), e.select("from_uid", to.alias("to_uid"), F.when(to.isNull(), F.col("href")).alias("to_external_uri"), "relationship_type", "code_space").distinct()
+    edges = e.select("from_uid", to.alias("to_uid"), F.when(to.isNull(), F.col("href")).alias("to_external_uri"), "relationship_type", "code_space", "role", "stated").distinct()
+    return o.where("first").drop("n", "first"), edges
 
 
 def parse_xsd(path: str) -> list[tuple]:
@@ -211,15 +255,3 @@ def read_vocabulary_folder(spark: SparkSession, files: list[str], scheme: str, v
             c, t = read_ontology(spark, p, scheme, version)
             concepts, types = concepts.unionByName(c), types.unionByName(t)
     return concepts, types
-
-
-def read_citygml_files(spark: SparkSession, files: list[str], concepts: list[tuple[str, str]]) -> DataFrame:
-    """Raw edges of many documents, each parsed by a worker: path, owner, property, target number or href."""
-    names = set(concepts)
-
-    def parse(batches):
-        for pdf in batches:
-            for p in pdf["path"]:
-                yield pd.DataFrame([(p, *e) for e in parse_citygml(p, names)[1]], columns=["path", "owner", "code_space", "relationship_type", "target", "href"]).astype({"target": "Int64"})
-
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files))).mapInPandas(parse, "path string, owner long, code_space string, relationship_type string, target long, href string")

@@ -99,6 +99,10 @@ class Store:
             out.append(("error", "INVALID_PACKAGE_IRI"))
         return out
 
+    def header(self) -> DataFrame:
+        """``problems`` as the table ``header`` of the validation."""
+        return self.spark.createDataFrame([(code, self.path, "") for _, code in self.problems()], "code string, row_id string, details string")
+
     # --- reading
 
     def table(self, name: str) -> DataFrame:

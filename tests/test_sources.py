@@ -7,18 +7,24 @@ import pytest
 from facetlake.operators import validate
 from facetlake.schema import StoreError
 from facetlake.sources import citymodel, geometry, synthetic
-from tests_data import CITY, las
+from tests_data import CITY, CITY_CLASSES, CITY_NS, las
 
-def test_citygml_inline_and_linked(spark, rows, tmp_path):
+
+def test_city_model_objects_and_edges(spark, rows, tmp_path):
     p = tmp_path / "c.gml"
     p.write_text(CITY)
-    ns = "http://www.opengis.net/citygml/"
-    concepts = spark.createDataFrame([(ns + "building/3.0", "Building"), *[(ns + "construction/3.0", n) for n in ("RoofSurface", "WallSurface", "WindowSurface")]], "source_namespace string, local_name string")
+    concepts = spark.createDataFrame([(CITY_NS + m, n) for m, names in CITY_CLASSES.items() for n in names], "source_namespace string, local_name string")
     objects, edges = citymodel.read_citygml(spark, str(p), concepts)
-    assert rows(objects, "object_uid") == [("b",), ("generated_WallSurface_000002",), ("r",), ("w",)]
-    assert rows(edges, "from_uid", "to_uid", "to_external_uri", "relationship_type") == sorted([
-        ("b", "r", None, "boundary"), ("b", "generated_WallSurface_000002", None, "boundary"), ("generated_WallSurface_000002", "w", None, "fillingSurface"), ("b", None, "other.gml#x", "relatedTo"),
+    assert rows(objects, "object_uid", "semantic_class") == [("generated_TrafficSpace_000002", "TrafficSpace"), ("lane-2", "TrafficSpace"), ("road-7", "Road"), ("sec-a", "Section"), ("sec-b", "Section"), ("works", "CityObjectGroup")]
+    lane = "generated_TrafficSpace_000002"
+    assert rows(edges, "from_uid", "to_uid", "to_external_uri", "relationship_type", "role", "stated") == sorted([
+        ("road-7", "sec-a", None, "section", None, False), ("road-7", "sec-b", None, "section", None, False), ("sec-a", lane, None, "trafficSpace", None, False), (lane, "lane-2", None, "predecessor", None, False),
+        ("sec-b", "lane-2", None, "trafficSpace", None, False), ("road-7", None, "bridge.gml#deck", "carriedBy", None, True), ("works", "sec-b", None, "groupMember", "closed", False),
     ], key=str)
+    assert edges.where("stated").first()["code_space"] == "urn:site"
+    (tmp_path / "bad.gml").write_text(CITY[:-5])
+    with pytest.raises(Exception, match="bad.gml"):
+        citymodel.read_citygml(spark, str(tmp_path / "bad.gml"), concepts)
 
 
 def test_vocabularies(spark, rows, tmp_path):
