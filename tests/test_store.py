@@ -1,3 +1,5 @@
+import sqlite3
+
 import pytest
 
 from facetlake import cli, interop
@@ -136,3 +138,22 @@ def test_tampering_is_found(store, spark):
     for code, (table, column, value) in cases.items():
         broken = {**t, table: t[table].selectExpr(*[f"{value} AS {c}" if c == column else c for c in t[table].columns])}
         assert {r["code"] for r in validate.run(broken, "deep", [code]).collect()} == {code}, code
+
+
+def test_header_rules_are_part_of_the_run(store, spark, tmp_path):
+    assert not {r["code"] for r in validate.run({"header": store.header()}, "basic", skipped=[]).collect()}
+    path = str(tmp_path / "out.gpkg")
+    interop.export_geopackage(store, path, 4326)
+    assert interop.header_table(spark, path).count() == 0
+    conn = sqlite3.connect(path)
+    conn.executescript(
+        "PRAGMA application_id = 1; PRAGMA user_version = 5; DROP TABLE gpkg_extensions; DELETE FROM gpkg_spatial_ref_sys WHERE srs_id = 0; DELETE FROM gpkg_contents WHERE table_name = 'asset';"
+        "UPDATE gpkg_geometry_columns SET srs_id = 25832; INSERT OR REPLACE INTO asset_extent VALUES (9, x'00')"
+    )
+    conn.commit()
+    conn.close()
+    found = {r["code"] for r in validate.run({"header": interop.header_table(spark, path)}, "basic").collect()}
+    assert found == {"INVALID_GPKG_APPLICATION_ID", "OLD_GPKG_USER_VERSION", "MISSING_GPKG_TABLE", "MISSING_GPKG_SRS", "MISSING_GIS_ATTRIBUTE_LAYER", "FEATURES_LAYER_SRS_MISMATCH", "CORRUPT_EXTENT_BLOB", "EXTENT_SRS_MISMATCH"}
+    skipped = []
+    validate.run({"asset": store.table("asset")}, "basic", skipped=skipped)
+    assert ("ORPHAN_MEMBERSHIP_ANNOTATION", "membership_block") in skipped
