@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.operators import blocks, validate, values
+from facetlake.operators import blocks, graph, validate, values
 from facetlake.plans.projection import CHUNK, Projection, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,5 +193,51 @@ _named({
 }, _PATH_CTES, _paths, "validate_broken_paths")
 
 
+# --- graph, concepts, claims' own fields, extents
+
+
+def _graph(p: Projection) -> dict[str, DataFrame]:
+    none, k, n = F.lit(None), F.col("annotation_id") % 7, F.col("src") % 7
+    kinds = p.edges().where("rel_type = 'part'")
+    one = kinds.select(
+        F.concat_ws("/", "src", "dst").alias("relationship_id"), F.lit("g").alias("graph_name"), _when(F.col("dst") % 7, 6, F.col("src") + 10 * _OTHERS, F.col("src")).alias("from_city_object_id"), _when(F.col("dst") % 7, 0, F.col("dst") + 10 * _OTHERS, F.col("dst")).alias("to_city_object_id"),
+        none.cast("string").alias("to_external_uri"), F.lit(1).alias("relationship_type_id"), none.cast("string").alias("role"), none.cast("long").alias("source_asset_id"),
+    )
+    again = one.where("to_city_object_id % 7 = 5").withColumn("relationship_id", F.concat("relationship_id", F.lit("/again")))
+    classes = p.classes().select(F.col("class_id").alias("semantic_class_id"), F.col("parent_id").alias("parent_class_id"), F.when(F.col("class_id").isin(1001, 1002), "w:twice").otherwise(F.concat(F.lit("w:"), "local_name")).alias("class_uri"))
+    kept = graph.closure(p.classes()).where("not (depth = 0 and descendant % 10 = 3) and not (depth = 1 and descendant % 10 = 4)")
+    i = F.col("id")
+    box = p.spark.range(6).select(i.alias("asset_id"), i.cast("double").alias("minx"), (i + 1).cast("double").alias("miny"), (i + 2).cast("double").alias("maxx"), (i + 3).cast("double").alias("maxy"))
+    extents = box.where("asset_id < 4").withColumn("maxx", _when(F.col("asset_id"), 2, F.col("maxx") + 1, F.col("maxx"))).unionByName(box.where("asset_id = 0").withColumn("asset_id", F.lit(99).cast("long")))
+    return {
+        "annotation": p.annotations().select("annotation_id", _when(k, 1, F.lit(1.5), F.lit(0.5)).alias("confidence"), F.when(k == 2, "{bad").when(k == 3, '{"x:path": [1]}').otherwise('{"a": 1}').alias("attributes_json")),
+        "city_object": p.objects().select(F.col("object_id").alias("city_object_id"), _when(F.col("object_id") % 7, 4, F.lit("lost"), F.lit("accepted")).alias("object_status")),
+        "semantic_class": classes, "class_closure": kept, "relationship": one.unionByName(again), "asset_part": box, "asset": box.select("asset_id"), "asset_extent": extents,
+    }
+
+
+_R = "relationship"
+_GRAPH_CTES = """closure(ancestor, descendant, depth) AS (SELECT class_id, class_id, 0 FROM class_dim UNION ALL SELECT k.ancestor, c.class_id, k.depth + 1 FROM closure k JOIN class_dim c ON c.parent_id = k.descendant),
+kept AS (SELECT * FROM closure WHERE NOT (depth = 0 AND descendant % 10 = 3) AND NOT (depth = 1 AND descendant % 10 = 4)),
+r0 AS (SELECT src || '/' || dst id, CASE dst % 7 WHEN 6 THEN src + 10000000 ELSE src END f, CASE dst % 7 WHEN 0 THEN dst + 10000000 ELSE dst END t FROM edge_fact WHERE rel_type = 'part'),
+rel AS (SELECT * FROM r0 UNION ALL SELECT id || '/again', f, t FROM r0 WHERE t % 7 = 5)"""
+_named({
+    "ORPHAN_RELATIONSHIP_FROM": ("error", _R, "SELECT id, f FROM rel WHERE f NOT IN (SELECT object_id FROM object_dim)"),
+    "ORPHAN_RELATIONSHIP_TO": ("error", _R, "SELECT id, t FROM rel WHERE t NOT IN (SELECT object_id FROM object_dim)"),
+    "DUPLICATE_RELATIONSHIP_EDGE": ("warning", _R, "SELECT min(id), count(*) FROM rel GROUP BY f, t HAVING count(*) > 1"),
+    "DUPLICATE_SEMANTIC_CLASS_REGISTRATION": ("error", "semantic_class", "SELECT 'w:twice', count(*) FROM class_dim WHERE class_id IN (1001, 1002) HAVING count(*) > 1"),
+    "MISSING_SEMANTIC_CLASS_SELF_CLOSURE": ("error", "semantic_class", "SELECT class_id, '' FROM class_dim WHERE class_id NOT IN (SELECT descendant FROM kept WHERE depth = 0)"),
+    "MISSING_SEMANTIC_CLASS_PARENT_CLOSURE": ("error", "semantic_class", "SELECT class_id, parent_id FROM class_dim WHERE parent_id IS NOT NULL AND class_id NOT IN (SELECT descendant FROM kept WHERE depth = 1)"),
+    "ANNOTATION_CONFIDENCE_OUT_OF_RANGE": ("error", "annotation", "SELECT annotation_id, '1.5' FROM annotation_fact WHERE annotation_id % 7 = 1"),
+    "ANNOTATION_ATTRIBUTES_NOT_JSON": ("error", "annotation", "SELECT annotation_id, '' FROM annotation_fact WHERE annotation_id % 7 = 2"),
+    "PATH_IN_ATTRIBUTES": ("warning", "annotation", "SELECT annotation_id, '' FROM annotation_fact WHERE annotation_id % 7 = 3"),
+    "CITY_OBJECT_UNKNOWN_STATUS": ("error", "city_object", "SELECT object_id, 'lost' FROM object_dim WHERE object_id % 7 = 4"),
+    "MISSING_ASSET_EXTENT": ("warning", "asset_part", "SELECT i, '' FROM range(4, 6) r(i)"),
+    "ORPHAN_ASSET_EXTENT": ("error", "asset_extent", "SELECT 99, ''"),
+    "EXTENT_ENVELOPE_MISMATCH": ("error", "asset_extent", "SELECT i, '' FROM (VALUES (2), (99)) v(i)"),
+}, _GRAPH_CTES, _graph, "validate_broken_graph")
+ORACLE["validate_broken_graph"] = ORACLE["validate_broken_graph"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def queries() -> dict:
     return QUERIES
