@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetlake.functions.codecs import bbox_decode, bbox_encode, offsets_of, path_decode, path_encode, roaring_encode, value_decode, value_encode
+from facetlake.functions.crs import wkt_for_epsg
 from facetlake.operators.catalog import asset_extents
 from facetlake.schema import TABLES, StoreError
 from facetlake.store import Store
@@ -35,16 +36,18 @@ def _payload(table: str, row: dict) -> dict:
     return row
 
 
-def export_geopackage(store: Store, path: str, srs_id: int = 0) -> None:
-    """Writes a new file; an existing one is refused. Rows stream through the driver one at a time."""
+def export_geopackage(store: Store, path: str, srs_id: int = 0, definition: str | None = None) -> None:
+    """Writes a new file; an existing one is refused. Rows stream through the driver one at a time. A system whose text does not follow from its code needs a ``definition``."""
+    if srs_id not in (-1, 0) and definition is None and (definition := wkt_for_epsg(srs_id)) is None:
+        raise StoreError(f"the definition of reference system {srs_id} is needed")
     conn = sqlite3.connect(f"file:{path}?mode=rwc", uri=True)
     try:
         if conn.execute("SELECT count(*) FROM sqlite_master").fetchone()[0]:
             raise StoreError(f"not empty: {path}")
         conn.executescript(f"PRAGMA application_id = {APPLICATION_ID}; PRAGMA user_version = {USER_VERSION};" + _CATALOGUE)
-        srs = [("Undefined Cartesian", -1, "NONE", -1, "undefined"), ("Undefined geographic", 0, "NONE", 0, "undefined"), ("WGS 84", 4326, "EPSG", 4326, "undefined")]
+        srs = [("Undefined Cartesian", -1, "NONE", -1, "undefined"), ("Undefined geographic", 0, "NONE", 0, "undefined"), ("WGS 84", 4326, "EPSG", 4326, wkt_for_epsg(4326))]
         if srs_id not in (-1, 0, 4326):
-            srs.append((f"EPSG:{srs_id}", srs_id, "EPSG", srs_id, "undefined"))
+            srs.append((f"EPSG:{srs_id}", srs_id, "EPSG", srs_id, definition))
         conn.executemany("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, ?, NULL)", srs)
         with conn:
             for name in TABLES:

@@ -114,7 +114,7 @@ def build(spark: SparkSession, config: dict, base_dir: str = ".", update: bool =
             raise StoreError(f"the result is not sound: {[(r['code'], r['row_id']) for r in errors]}")
         warnings = issues.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
         store.log_edit("build", "*", details={"update": update})
-    return {"store": path, "version": store.manifest["version"], "counts": {n: store.table(n).count() for n in store.manifest["tables"]}, "warnings": {r["code"]: r["n"] for r in warnings}}
+    return {"store": path, "version": store.manifest["version"], "counts": {n: store.table(n).count() for n in store.manifest["tables"]}, "warnings": {r["code"]: r["n"] for r in warnings}, "imports": citymodel.ontology_imports([at(p) for p in config.get("vocabulary_files", [])])}
 
 
 def set_srs(store: Store, srs_id: int) -> None:

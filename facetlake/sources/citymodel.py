@@ -238,6 +238,11 @@ def read_ontology(spark: SparkSession, path: str, scheme: str, version: str | No
     return spark.createDataFrame(concepts, _CONCEPT), spark.createDataFrame(types, "local_name string, code_space string, category string, is_default boolean")
 
 
+def ontology_imports(files: list[str]) -> list[str]:
+    """The ontologies that those of ``files`` import: told, never followed."""
+    return sorted({i for p in files if p.lower().endswith((".rdf", ".owl")) for i in parse_ontology(p)[2] if i})
+
+
 def read_vocabulary_folder(spark: SparkSession, files: list[str], scheme: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Concepts and link types of schema files, then ontologies, then registries, whatever the order given; other suffixes raise."""
     rank = {".xsd": 0, ".rdf": 1, ".owl": 1, ".json": 2}

@@ -6,8 +6,10 @@ for a point cloud, vertices are only reduced to their bounds.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,17 @@ def epsg_of_wkt(wkt: str | None) -> int | None:
     return int(found[-1]) if found else None
 
 
+def _wkt_of_keys(keys: bytes, path: str) -> str:
+    """A reference to the EPSG code of a GeoTIFF key directory; a system that only its parameters describe cannot be read, which is an error and not "none"."""
+    values = struct.unpack(f"<{len(keys) // 2}H", keys[: len(keys) // 2 * 2])
+    known = {values[i]: values[i + 3] for i in range(4, len(values) - 3, 4) if values[i + 1] == 0}
+    # The keys of the projected and the geographic system; 32767 stands for one of its own.
+    for key in (3072, 2048):
+        if known.get(key) not in (None, 0, 32767):
+            return f'ID["EPSG",{known[key]}]'
+    raise StoreError(f"the reference system of {path} cannot be read")
+
+
 def read_las(path: str) -> list[tuple]:
     """The one part of a LAS file from its header and its variable records."""
     with open(path, "rb") as f:
@@ -41,14 +54,25 @@ def read_las(path: str) -> list[tuple]:
         if minor >= 4 and len(head) >= 255:
             count = struct.unpack_from("<Q", head, 247)[0] or count
         maxx, minx, maxy, miny, maxz, minz = struct.unpack_from("<6d", head, 179)
-        f.seek(header_size)
-        wkt = None
-        for _ in range(records):
-            h = f.read(54)
-            user, record, length = h[2:18].rstrip(b"\0"), *struct.unpack_from("<HH", h, 18)
-            body = f.read(length)
-            if user == b"LASF_Projection" and record == 2112:
-                wkt = body.rstrip(b"\0").decode("utf-8", "replace")
+        # Variable records follow the header; since 1.4 there may be extended ones at the end of the file.
+        places = [(header_size, records, 54, "<H")]
+        if minor >= 4 and len(head) >= 247:
+            places.append((*struct.unpack_from("<QI", head, 235), 60, "<Q"))
+        wkt = keys = None
+        for start, many, size, length in places:
+            f.seek(start)
+            for _ in range(many):
+                h = f.read(size)
+                if len(h) < size:
+                    raise StoreError(f"the records of {path} are cut off")
+                user, record, n = h[2:18].rstrip(b"\0"), struct.unpack_from("<H", h, 18)[0], struct.unpack_from(length, h, 20)[0]
+                body = f.read(n)
+                if user == b"LASF_Projection" and record == 2112:
+                    wkt = body.rstrip(b"\0").decode("utf-8", "replace") or wkt
+                elif user == b"LASF_Projection" and record == 34735:
+                    keys = body
+    if wkt is None and keys is not None:
+        wkt = _wkt_of_keys(keys, path)
     bounds = (minx, miny, minz, maxx, maxy, maxz) if count else (None,) * 6
     return [("points/all", 2, count, *bounds, wkt)]
 
@@ -110,7 +134,7 @@ def read_ply(path: str) -> list[tuple]:
 
 def read_obj(path: str, single: bool = False) -> list[tuple]:
     """A part per group of an OBJ file that has faces, counted as triangles of a fan; ``single`` refuses several groups."""
-    vertices: list[list[float]] = []
+    vertices = array("d")
     groups: list[tuple[str, int, _Bounds]] = []
     with open(path, encoding="utf-8", errors="replace") as f:
         for line in f:
@@ -118,7 +142,7 @@ def read_obj(path: str, single: bool = False) -> list[tuple]:
             if not w:
                 continue
             if w[0] == "v":
-                vertices.append([float(x) for x in w[1:4]])
+                vertices.extend(float(x) for x in w[1:4])
             elif w[0] in ("o", "g"):
                 groups.append((" ".join(w[1:]) or "default", 0, _Bounds()))
             elif w[0] == "f":
@@ -126,13 +150,46 @@ def read_obj(path: str, single: bool = False) -> list[tuple]:
                     groups.append(("default", 0, _Bounds()))
                 name, n, b = groups[-1]
                 at = [int(x.split("/")[0]) for x in w[1:]]
-                b.add(np.array([vertices[i - 1 if i > 0 else i] for i in at]))
+                first = [3 * (i - 1) if i > 0 else len(vertices) + 3 * i for i in at]
+                b.add(np.array([vertices[i : i + 3] for i in first]))
                 groups[-1] = (name, n + len(at) - 2, b)
     if single and sum(1 for _, n, _ in groups if n) > 1:
         raise StoreError(f"more than one group: {path}")
     return [(f"geometry/{i}:{name}", 1, n, *b.values(), None) for i, (name, n, b) in enumerate(groups) if n]
 
 
+def read_streamed_obj(path: str) -> list[tuple]:
+    """The one part of a large OBJ file: faces are counted and bounds run over all vertices, of which a piece is held at a time; several groups with faces are refused."""
+    bounds, faces, name, found, piece = _Bounds(), 0, "default", {}, array("d")
+    with open(path, encoding="utf-8", errors="replace") as f:
+        for line in f:
+            w = line.split()
+            if not w:
+                continue
+            if w[0] == "v":
+                piece.extend(float(x) for x in w[1:4])
+                if len(piece) >= 3 * _PIECE:
+                    bounds.add(np.array(piece).reshape(-1, 3))
+                    piece = array("d")
+            elif w[0] in ("o", "g"):
+                name = " ".join(w[1:]) or "default"
+            elif w[0] == "f":
+                faces += len(w) - 3
+                found.setdefault(name, len(found))
+    bounds.add(np.array(piece).reshape(-1, 3))
+    if len(found) > 1:
+        raise StoreError(f"more than one group in a file that is read as a stream: {path}")
+    return [(f"geometry/0:{n}", 1, faces, *bounds.values(), None) for n in found]
+
+
+#: OBJ files of more bytes are read as a stream.
+STREAM_BYTES = 256 << 20
+
+
+def read_any_obj(path: str) -> list[tuple]:
+    return read_streamed_obj(path) if os.path.getsize(path) > STREAM_BYTES else read_obj(path)
+
+
 def read_stl(path: str) -> list[tuple]:
     """The one part of a binary or ascii STL file."""
     bounds = _Bounds()
@@ -157,7 +214,7 @@ def read_stl(path: str) -> list[tuple]:
     return [("geometry/0:default", 1, n, *bounds.values(), None)] if n else []
 
 
-READERS = {".las": read_las, ".laz": read_las, ".ply": read_ply, ".obj": read_obj, ".stl": read_stl}
+READERS = {".las": read_las, ".laz": read_las, ".ply": read_ply, ".obj": read_any_obj, ".stl": read_stl}
 
 
 def suffix_of(path: str) -> str:
