@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,19 @@ def parents_first(classes: DataFrame) -> DataFrame:
 
 
 def register_files(store: Store, files: list[str], kind: str) -> DataFrame:
-    """Assets of files by uri, their hash filled in; returns (uri, asset_id)."""
-    rows = [(f, kind, geometry.MEDIA_TYPES.get(geometry.suffix_of(f)), validate.file_hash(f, ".")[1]) for f in files]
-    wanted = store.spark.createDataFrame(rows, "uri string, asset_kind string, media_type string, content_hash string")
+    """Assets of files by uri and hash; returns (uri, asset_id). Files are read by workers, a file a row."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(content_hash=[validate.file_hash(f, ".")[1] for f in pdf["uri"]])
+
+    rows = store.spark.createDataFrame([(f, kind, geometry.MEDIA_TYPES.get(geometry.suffix_of(f))) for f in files], "uri string, asset_kind string, media_type string")
+    wanted = cut_lineage(rows.repartition(max(1, len(files))).mapInPandas(hashed, "uri string, asset_kind string, media_type string, content_hash string"))
     assets = cut_lineage(mutate.register_assets(store.table("asset"), wanted))
     store.stage("asset", assets)
-    return assets.join(wanted.select("uri"), "uri", "left_semi").select("uri", "asset_id")
+    # An asset of another hash under the same uri is not the one that was read.
+    on = (F.col("a.uri") == F.col("w.uri")) & (F.col("w.content_hash").isNull() | F.col("a.content_hash").eqNullSafe(F.col("w.content_hash")))
+    return assets.alias("a").join(wanted.alias("w"), on, "left_semi").select("uri", "asset_id")
 
 
 def register_parts(store: Store, parts: DataFrame, kind: str) -> None:
